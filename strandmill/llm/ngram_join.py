@@ -42,6 +42,8 @@ ZONE, TABLE, LIST, MATCHES = 0.25, 1 << 20, 48, 4
 BLOCK, BLOCK_SHINGLES, VERIFY = 1024, 1 << 20, 8.0
 #: Bits of the filter through which the second reading of the texts goes; its size doesn't grow.
 FILTER_BITS = 1 << 23
+#: Bits of the filter of shingles that two classes share; the fuller it is, the more others pass, to no effect.
+SHARED_BITS = 1 << 27
 
 _U = np.uint64
 _BASE, _STEP = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
@@ -143,8 +145,22 @@ def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     return base.select("doc_id", "n", "sig"), saved(classes, "classes")
 
 
-def _frequencies(classes: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Shingles of the zone in at least ``least`` classes, sorted, their counts, and ``least``: as many as TABLE allows."""
+def _bits(numbers: DataFrame, size: int) -> np.ndarray:
+    """A bit for every ``bit`` (from 0 to size - 1) of ``numbers``; size / 8 bytes come to the driver, however many numbers there are."""
+    bit = F.col("bit") + 1  # Spark's bitmaps count buckets from 1 for numbers from 1
+    got = numbers.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    bits = np.zeros(size // 8, np.uint8)
+    for r in got:
+        bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
+def _test(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def _frequencies(classes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent shingles of the zone, sorted, their counts, and a filter of all that are in two classes or more."""
     limit = _U(int(ZONE * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +170,7 @@ def _frequencies(classes: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 
     counts = classes.select("zone").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").cast("int").alias("c")).where("c > 1")
     counts = saved(counts, "frequencies")
+    shared = _bits(counts.select(F.col("token").bitwiseAND(SHARED_BITS - 1).alias("bit")), SHARED_BITS)
     least, room = 2, TABLE
     by_size = sorted((tuple(r) for r in counts.groupBy("c").count().collect()), reverse=True)  # a row for each frequency
     for c, k in by_size:
@@ -164,17 +181,16 @@ def _frequencies(classes: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     t = counts.where(F.col("c") >= least).toArrow()
     tokens, c = t.column("token").to_numpy().view(np.uint64), t.column("c").to_numpy()
     order = np.argsort(tokens)
-    return tokens[order], c[order], least
+    return tokens[order], c[order], shared
 
 
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
-    """(token, sig, n, l): the prefix shingles of every class, without those that no other class has."""
-    tokens, counts, least = _frequencies(classes)
-    table = classes.sparkSession.sparkContext.broadcast((tokens, counts))  # at most TABLE entries
+    """(token, sig, n, l): the prefix shingles of every class, without most of those that no other class has."""
+    table = classes.sparkSession.sparkContext.broadcast(_frequencies(classes))  # at most TABLE entries and SHARED_BITS
     limit = _U(int(ZONE * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, freq = table.value
+        known, freq, shared = table.value
         for b in rows(batches):
             out: list[list] = [[], [], [], []]
             for sig, n, zone in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -186,8 +202,8 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
                 order = np.lexsort((z, np.where(found, f, 0), ~inside))
                 z, f, found, inside = z[order], f[order], found[order], inside[order]
                 m, length = choose(np.where(inside, f, 2.0), n, percent)
-                take = found[:length] | ~inside[:length] if least == 2 else np.ones(length, bool)
-                own = z[:length][take].view(np.int64)
+                own = z[:length]
+                own = own[~inside[:length] | _test(shared, (own & _U(SHARED_BITS - 1)).astype(np.int64))].view(np.int64)
                 out[0].append(own)
                 out[1] += [sig] * len(own)
                 out[2].append(np.full(len(own), n, np.int64))
@@ -200,18 +216,14 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(sig, s) for ``wanted`` (sig, rep): texts are read again, those that a filter of fixed size lets through."""
-    bit = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)) + 1  # Spark's bitmaps count buckets from 1 for numbers from 1
-    got = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in got:  # at most FILTER_BITS in all
-        bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    bits = _bits(wanted.select(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).alias("bit")), FILTER_BITS)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
         for b in rows(batches):
             at = b.column(2).to_numpy()
-            through = (have[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            through = _test(have, at)
             for c in _short([b.filter(pa.array(through))], 1):
                 sets = shingle_sets(c.column(1).to_pylist(), n)
                 yield pa.record_batch([c.column(0), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "sig", "s"])
