@@ -16,9 +16,14 @@ def mean(of: str = CLEAN) -> str:
 
 
 def sd(of: str = CLEAN) -> str:
-    """Of the population."""
-    m = mean(of)
-    return f"sqrt(try_divide(aggregate({of}, 0D, (s, x) -> s + pow(x - {m}, 2)), size({of})))"
+    """Of the population, in one pass (a running mean and sum of squared differences)."""
+    step = "named_struct('n', a.n + 1, 'm', a.m + (x - a.m) / (a.n + 1), 's', a.s + (x - a.m) * (x - (a.m + (x - a.m) / (a.n + 1))))"
+    return f"aggregate({of}, named_struct('n', 0D, 'm', 0D, 's', 0D), (a, x) -> {step}, a -> sqrt(try_divide(a.s, a.n)))"
+
+
+def once(value: str, name: str, then: str) -> str:
+    """``then``, in which ``name`` stands for ``value``: computed once for a row, also inside of lambdas."""
+    return f"transform(array({value}), {name} -> {then})[0]"
 
 
 def trimmed(share: float, of: str = ORDERED) -> str:

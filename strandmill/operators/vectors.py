@@ -24,8 +24,9 @@ def absmax(df):
 def bins(df, n, low=None, high=None, merge=1):
     """A histogram for each row, bins [low, high) (its least and greatest value by default), ``merge`` bins summed."""
     lo, hi = (f"array_min({V.CLEAN})" if low is None else f"{low}D"), (f"array_max({V.CLEAN})" if high is None else f"{high}D")
-    z = f"filter(transform({V.CLEAN}, x -> try_divide(x - {lo}, {hi} - {lo})), z -> z >= 0 AND z < 1)"
+    z = f"filter(transform({V.CLEAN}, x -> try_divide(x - r.lo, r.hi - r.lo)), z -> z >= 0 AND z < 1)"
     h = f"transform(sequence(0, {n - 1}), b -> cast(size(filter({z}, y -> cast(floor({n} * y) as int) = b)) as double))"
+    h = V.once(f"named_struct('lo', {lo}, 'hi', {hi})", "r", h)
     return _v(df, h if merge == 1 else f"transform(sequence(0, {-(-n // merge) - 1}), b -> aggregate(slice({h}, b * {merge} + 1, {merge}), 0D, (s, x) -> s + x))")
 
 
@@ -136,7 +137,7 @@ def norm(df, how="z", trim=0.0):
     """z-scores, the range to 0..1, or (trim > 0) z-scores by the trimmed mean and deviation; statistics once per row."""
     of = V.trimmed(trim) if trim else V.CLEAN
     a, b = (f"array_min({of})", f"array_max({of}) - array_min({of})") if how == "range" else (V.mean(of), V.sd(of))
-    return df.withColumns({"__a": F.expr(a), "__b": F.expr(b)}).withColumn("v", F.expr(f"transform(v, x -> {V.over('(x - __a)', '__b')})")).drop("__a", "__b")
+    return _v(df, V.once(f"named_struct('a', {a}, 'b', {b})", "t", f"transform(v, x -> {V.over('(x - t.a)', 't.b')})"))
 
 
 def pairs(df, block=512):
@@ -162,7 +163,7 @@ def rank(df, normalised=False):
     """Ordinal ranks from 1, ties by position."""
     places = "transform(array_sort(transform(v, (x, j) -> struct(x, j))), y -> y.j)"
     by = " / size(v)" if normalised else ""
-    return _v(df, f"transform(v, (x, j) -> cast(array_position({places}, j) as double){by})")
+    return _v(df, V.once(places, "p", f"transform(v, (x, j) -> cast(array_position(p, j) as double){by})"))
 
 
 def rev(df):
