@@ -63,7 +63,7 @@ def format_(df, pattern="%.6f", delimiter=" "):
 def hist(df, n, low, high):
     """start, fraction, count of each bin, over all rows."""
     x = df.select(F.explode("v").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
-    got = x.selectExpr(f"(x - {low}D) / {high - low}D AS z").selectExpr(f"CASE WHEN z >= 0 AND z < 1 THEN cast(floor({n} * z) as int) END AS bin").groupBy("bin").agg(F.count("*").alias("n"))
+    got = x.selectExpr(f"(x - {low}D) / {high - low}D AS z").selectExpr(f"CASE WHEN z >= 0 AND z < 1 THEN cast(floor({n} * z) as int) END AS bin").where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"))
     total = got.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
     every = df.sparkSession.range(n).select(F.col("id").cast("int").alias("bin")).join(got, "bin", "left").join(F.broadcast(total))
     return every.selectExpr("bin", f"{low}D + bin * {(high - low) / n}D AS start", "try_divide(coalesce(n, 0), all) AS fraction", "coalesce(n, 0) AS count")
