@@ -36,18 +36,40 @@ VOCABULARY, END, SIZE = "word_bpe_49k.json", 1, 2048
 DIMENSIONS, BITS = 3, 8
 #: Bits below the curve's key that part documents of the same key.
 TIE_BITS = 28
+#: Words whose lower case, letters and numbers are the same to Python and the tokenizer, and their pre-tokens.
+_LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]+")
+_LETTER, _NUMBER = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
 _CONTROL, _PLAIN = re.compile(r"[\x1c-\x1f]"), re.compile(r"[^ \t-\r]+")
 
 
+class Encoder:
+    """Ids of words as little-endian unsigned 32-bit integers.  This vocabulary drops white space, so words are independent.
+
+    Words of Latin letters, digits and marks are cut into the tokenizer's own pre-tokens here (lower case, as its
+    normaliser has it), which recur more than words do; all other words go to the tokenizer whole.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.pieces, self.words = Words(self._whole), Words(self._many)
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _many(self, words: list[str]) -> list[bytes]:
+        cut = [_PIECE.findall(w.lower()) if _LATIN.fullmatch(w) else [w] for w in words]
+        self.pieces.of(cut)
+        return [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Words:
-    """word -> ids as little-endian unsigned 32-bit integers.  This vocabulary drops white space, so words are independent."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return Words(lambda words: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)])
+    return Encoder(path).words
 
 
 def spaced(text: str) -> list[str]:
