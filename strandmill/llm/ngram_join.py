@@ -39,7 +39,7 @@ from strandmill.llm.graph import components
 
 ZONE, TABLE, LIST, MATCHES = 0.25, 1 << 20, 48, 4
 #: Classes and shingles in a block of a long list; estimated cost of verifying a pair, in posting entries.
-BLOCK, BLOCK_SHINGLES, VERIFY = 1024, 1 << 20, 8.0
+BLOCK, BLOCK_SHINGLES, VERIFY = 2048, 1 << 20, 8.0
 #: Bits of the filter through which the second reading of the texts goes; its size doesn't grow.
 FILTER_BITS = 1 << 23
 #: Bits of the filter of shingles that two classes share; the fuller it is, the more others pass, to no effect.
