@@ -17,8 +17,10 @@ each range starts follows from the sums of token counts by range, so no task see
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -40,6 +42,9 @@ TIE_BITS = 28
 _LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]+")
 _LETTER, _NUMBER = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
+#: Code points that stand for bytes in byte-level vocabularies: themselves where printable, else from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 _CONTROL, _PLAIN = re.compile(r"[\x1c-\x1f]"), re.compile(r"[^ \t-\r]+")
 
 
@@ -56,15 +61,26 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces, self.words = Words(self._whole), Words(self._many)
+        # The same merges alone, for pieces that are normalised and cut already.
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f) | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
+        self.merges = Tokenizer.from_str(json.dumps(parts))
+        self.pieces, self.words = Words(self._pieces), Words(self._many)
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        mapped = [p.encode().decode("latin-1").translate(_BYTES) for p in pieces]
+        ids = [e.ids for e in self.merges.encode_batch_fast(mapped, add_special_tokens=False)]
+        return [struct.pack(f"<{len(x)}I", *x) for x in ids]
+
     def _many(self, words: list[str]) -> list[bytes]:
-        cut = [_PIECE.findall(w.lower()) if _LATIN.fullmatch(w) else [w] for w in words]
-        self.pieces.of(cut)
-        return [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
+        cut = [_PIECE.findall(w.lower()) if _LATIN.fullmatch(w) else None for w in words]
+        self.pieces.of([c for c in cut if c])
+        other = [w for w, c in zip(words, cut, strict=True) if c is None]
+        whole = dict(zip(other, self._whole(other), strict=True)) if other else {}
+        return [whole[w] if c is None else b"".join(map(self.pieces.__getitem__, c)) for w, c in zip(words, cut, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
