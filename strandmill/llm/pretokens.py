@@ -15,7 +15,7 @@ _CUT = re.compile(r" ?[^ \n]+|[ \n]")
 #: The public pattern for texts of ASCII alone, where its classes are these.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 #: Words whose results one worker keeps between batches.
-CACHE = 500_000
+CACHE = 1_000_000
 
 
 @functools.cache
