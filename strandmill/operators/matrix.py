@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,26 +79,29 @@ def rel(df, how="previous"):
     return df.withColumn("v", F.expr(f"transform(slice(v, 2, greatest(size(v) - 1, 0)), (x, j) -> {V.over('x', base)})"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Written to the session's checkpoint folder; one is set only where there is none, as in tests."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
+    return df.checkpoint()
+
+
 def drop_correlated(df, most=0.9):
     """Rows kept greedily by row_id: those whose correlation with every kept row is at most ``most``.
 
-    What one kept row excludes is found for all rows at once; the loop runs over kept rows, whose vectors alone
-    come to the driver, one at a time.
+    Correlated pairs are found in blocks. Then, in rounds, every open row without a smaller open neighbour is
+    kept and its neighbours go: what the greedy choice gives, in few rounds, with all decisions in DataFrames.
     """
-    def centred(of):
-        return f"transform({of}, x -> x - aggregate({of}, 0D, (s, y) -> s + y) / size({of}))"
-
-    left = df.withColumn("u", F.expr(centred("v"))).withColumn("len", F.expr("sqrt(aggregate(u, 0D, (s, x) -> s + x * x))"))
-    kept: list[int] = []
-    after = None
-    while True:
-        nxt = (left if after is None else left.where(F.col("row_id") > after)).orderBy("row_id").select("row_id", "u", "len").first()
-        if nxt is None:
-            return df.where(F.col("row_id").isin(kept)) if kept else df.where("false")
-        kept.append(nxt["row_id"])
-        after = nxt["row_id"]
-        u = F.array(*[F.lit(x) for x in nxt["u"]])
-        dot = F.aggregate(F.zip_with("u", u, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        left = left.where(F.col("row_id") > after)
-        if nxt["len"]:
-            left = left.where((F.col("len") == 0) | (dot <= most * F.col("len") * nxt["len"]))
+    unit = df.withColumn("v", F.expr(V.once(V.mean("v"), "m", "transform(v, x -> x - m)")))
+    unit = unit.withColumn("v", F.expr(V.once("sqrt(aggregate(v, 0D, (s, x) -> s + x * x))", "n", "CASE WHEN n > 0 THEN transform(v, x -> x / n) END"))).where("v IS NOT NULL")
+    dot = "aggregate(zip_with(i.v, j.v, (x, y) -> x * y), 0D, (s, x) -> s + x)"
+    near = _cut(pairs(unit).where(f"{dot} > {most}").selectExpr("i.row_id AS i", "j.row_id AS j"))
+    kept, still = None, _cut(df.select("row_id"))
+    while not still.isEmpty():
+        live = near.join(still.withColumnRenamed("row_id", "i"), "i").join(still.withColumnRenamed("row_id", "j"), "j")
+        first = _cut(still.join(live.select(F.col("j").alias("row_id")), "row_id", "left_anti"))
+        gone = live.join(first.withColumnRenamed("row_id", "i"), "i", "left_semi").select(F.col("j").alias("row_id"))
+        still = _cut(still.join(first.union(gone), "row_id", "left_anti"))
+        kept = first if kept is None else kept.union(first)
+    return df.join(kept, "row_id", "left_semi") if kept is not None else df
