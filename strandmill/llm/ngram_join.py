@@ -230,7 +230,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     sets = docs.select("doc_id", "text", place.alias("place")).mapInArrow(run, "rep long, sig binary, s binary")
-    return sets.join(wanted, ["rep", "sig"]).groupBy("sig").agg(F.first("s").alias("s"))
+    # Equal sig, equal set: whichever document let through has it; the aggregation keeps the join's partitions.
+    return sets.select("sig", "s").join(wanted.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("s").alias("s"))
 
 
 def links_within(ids: list, sets: list[np.ndarray], hot: list[np.ndarray], token: int, side: np.ndarray, percent: int) -> list[tuple]:
