@@ -11,8 +11,9 @@ size).  Each class takes the l whose longer prefix, and fewer documents to verif
 frequencies; a pair needs as many shared prefix shingles as the smaller l of the two.
 
 Order: shingles whose hash is in the lowest ``ZONE`` of all hashes, then the others by hash.  In the zone
-those come last whose frequency, counted over all classes, is in a table of at most ``TABLE`` entries (the
-most frequent ones), by frequency.  The table only bears on cost: any order is right.
+those come first that a filter of fixed size tells to be in one class only, then other shared ones, and last
+those whose frequency, counted over all classes, is in a table of at most ``TABLE`` entries (the most frequent
+ones), by frequency.  Filter and table only bear on cost: any order is right.
 
 Lists of a prefix shingle with at most ``LIST`` classes give pairs, which are counted and verified.  Longer lists
 are cut into blocks of bounded size, whose pairs of blocks are compared whole by matrix products in one task
@@ -197,13 +198,15 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
                 z = np.frombuffer(zone, np.uint64)
                 at = np.minimum(np.searchsorted(known, z), max(len(known) - 1, 0))
                 found = known[at] == z if len(known) else np.zeros(len(z), bool)
-                f = np.where(found, freq[at], 1) if len(known) else np.ones(len(z), np.int64)
                 inside = z < limit
-                order = np.lexsort((z, np.where(found, f, 0), ~inside))
-                z, f, found, inside = z[order], f[order], found[order], inside[order]
-                m, length = choose(np.where(inside, f, 2.0), n, percent)
-                own = z[:length]
-                own = own[~inside[:length] | _test(shared, (own & _U(SHARED_BITS - 1)).astype(np.int64))].view(np.int64)
+                common = ~inside | _test(shared, (z & _U(SHARED_BITS - 1)).astype(np.int64))
+                f = np.where(common, 2, 1)
+                if len(known):
+                    f = np.where(found, freq[at], f)
+                order = np.lexsort((z, f, found, ~inside))
+                z, f, common = z[order], f[order], common[order]
+                m, length = choose(f, n, percent)
+                own = z[:length][common[:length]].view(np.int64)
                 out[0].append(own)
                 out[1] += [sig] * len(own)
                 out[2].append(np.full(len(own), n, np.int64))
