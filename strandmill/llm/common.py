@@ -33,13 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends, lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` below the shared folder and read it again: lineage ends, lost executors cost nothing."""
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new folder of its own."""
+    return written(df, f"{shared_dir(df.sparkSession)}/{name}")
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a written table when all that reads it is written itself."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, so that no other column can clash; null text is empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import id_text, rows, saved, tune
+from strandmill.llm.common import id_text, removed, rows, saved, shared_dir, tune, written
 from strandmill.llm.graph import components
 
 ZONE, TABLE, LIST, MATCHES = 0.25, 1 << 20, 48, 4
@@ -130,8 +130,12 @@ def choose(frequency: np.ndarray, n: int, percent: int, most: int = MATCHES) ->
     return best[1], best[2]
 
 
-def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, sig) of every row; (sig, n, rep, zone) of every class that isn't empty."""
+def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, sig) of every row; (sig, rep) and the prefixes of every class that isn't empty.
+
+    Both tables that hold shingles of all texts are deleted as soon as the next one is written.
+    """
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     limit = _U(int(ZONE * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,9 +145,14 @@ def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
             keep = [max(int(np.searchsorted(s, limit)), min(len(s), len(s) - needed_overlap(len(s), percent) + MATCHES)) for s in sets]
             yield pa.record_batch([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(sig, pa.binary()), pa.array([s[:k].tobytes() for s, k in zip(sets, keep, strict=True)], pa.binary())], ["doc_id", "n", "sig", "zone"])
 
-    base = saved(docs.mapInArrow(run, "doc_id long, n long, sig binary, zone binary"), "sets")
-    classes = base.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.first("zone").alias("zone"))
-    return base.select("doc_id", "n", "sig"), saved(classes, "classes")
+    sets = written(docs.mapInArrow(run, "doc_id long, n long, sig binary, zone binary"), f"{folder}/sets")
+    base = saved(sets.select("doc_id", "n", "sig"), "base")
+    classes = sets.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.first("zone").alias("zone"))
+    classes = written(classes, f"{folder}/classes")
+    removed(spark, f"{folder}/sets")
+    reps, posts = saved(classes.select("sig", "rep"), "reps"), saved(_prefixes(classes, percent), "prefixes")
+    removed(spark, f"{folder}/classes")
+    return base, reps, posts
 
 
 def _bits(numbers: DataFrame, size: int) -> np.ndarray:
@@ -295,9 +304,8 @@ def links_within(ids: list, sets: list[np.ndarray], hot: list[np.ndarray], token
     return out
 
 
-def _links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, reps: DataFrame, posts: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b): enough links between classes to connect all that links connect."""
-    posts = saved(_prefixes(classes, percent), "prefixes")
     lists = posts.groupBy("token").agg(F.count("*").alias("c"), F.sum("n").alias("total")).where("c > 1")
     posts = saved(posts.join(lists, "token"), "lists")
 
@@ -310,7 +318,7 @@ def _links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFra
 
     many = posts.where(F.col("c") > LIST)
     wanted = pairs.select(F.col("sig_a").alias("sig")).union(pairs.select("sig_b")).union(many.select("sig")).distinct()
-    sets = saved(_sets_of(docs, wanted.join(classes.select("sig", "rep"), "sig"), n), "texts")
+    sets = saved(_sets_of(docs, wanted.join(reps, "sig"), n), "texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):
@@ -347,9 +355,9 @@ def ngram_join(docs: DataFrame, *, words: int = 4, percent: int = 85, id_col: st
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest id that links reach)."""
     tune(docs.sparkSession)
     source = id_text(docs, id_col, text_col)
-    base, classes = _classes(source, words, percent)
-    member = components(_links(source, classes, words, percent))
-    of = classes.select("sig", "rep").join(member.select(F.col("node").alias("sig"), "root"), "sig", "left")
+    base, reps, posts = _classes(source, words, percent)
+    member = components(_links(source, reps, posts, words, percent))
+    of = reps.join(member.select(F.col("node").alias("sig"), "root"), "sig", "left")
     of = of.withColumn("root", F.coalesce("root", "sig"))
     least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = saved(of.join(least, "root").select("sig", "component_id"), "components")
