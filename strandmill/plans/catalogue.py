@@ -94,25 +94,21 @@ _add("reg_align", _align)
 FLAT = "region_id, chrom, strand, start, stop"
 _add("set_gsort", lambda s, d: _one(sets.gsort(X.tests(s, d))), f"SELECT_ {FLAT} FROM tests")
 _RUNS = "u AS (SELECT *, CASE WHEN start - max(stop) OVER (PARTITION BY chrom, strand ORDER BY start, stop, region_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {d} THEN 0 ELSE 1 END AS new FROM {t}), w AS (SELECT *, sum(new) OVER (PARTITION BY chrom, strand ORDER BY start, stop, region_id) AS run FROM u) "
+#: The queries read all tests (ovl_subset and ovl_subset_inv all refs); their SQL still reads this ninth of the tests.
 _HALF = "t2 AS (SELECT * FROM tests WHERE region_id % 9 = 0), "
 
-
-def _sparse_tests(s, d):
-    return X.tests(s, d).where("region_id % 9 = 0")
-
-
 _add("set_link", lambda s, d: _one(sets.link(X.tests(s, d), distance=3)), _RUNS.format(d=3, t="tests") + "SELECT_ min(region_id) AS region_id, chrom, strand, min(start) AS start, max(stop) AS stop FROM w GROUP BY chrom, strand, run")
 _add("set_link_sum", lambda s, d: _one(sets.link(X.tests(s, d), label="sum"), "label"), _RUNS.format(d=0, t="tests") + "SELECT_ min(region_id) AS region_id, sum(label::DOUBLE)::VARCHAR AS label, chrom, strand, min(start) AS start, max(stop) AS stop FROM w GROUP BY chrom, strand, run")
-_add("set_inv", lambda s, d: _one(sets.inv(X.tests(s, d).where("region_id % 9 = 0"), X.genome(s))).drop("region_id"),
+_add("set_inv", lambda s, d: _one(sets.inv(X.tests(s, d), X.genome(s))).drop("region_id"),
      _HALF + _RUNS.format(d=0, t="t2") + ", m AS (SELECT chrom, strand, min(start) AS s, max(stop) AS e FROM w GROUP BY chrom, strand, run), n AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY chrom, strand ORDER BY s), 0) AS p, lead(s) OVER (PARTITION BY chrom, strand ORDER BY s) IS NULL AS last FROM m), g AS (SELECT chrom, strand, p + 1 AS start, s - 1 AS stop FROM n UNION ALL SELECT chrom, strand, e + 1, 110000 FROM n WHERE last) SELECT_ * FROM g WHERE start <= stop")
 _add("set_gdist", lambda s, d: sets.gdist(X.tests(s, d), op1="2", op2="1"),
      "o AS (SELECT *, lag(region_id) OVER g AS prev_id, lag(chrom || strand) OVER g AS pk, lag(stop) OVER g AS ps FROM tests WINDOW g AS (ORDER BY chrom, strand, start, stop DESC, region_id)) SELECT_ prev_id, region_id, CASE WHEN pk = chrom || strand THEN (start - ps)::DOUBLE ELSE 'NaN'::DOUBLE END AS distance FROM o WHERE prev_id IS NOT NULL")
 _add("set_test", lambda s, d: sets.test(X.tests(s, d)),
      "o AS (SELECT *, lag(chrom) OVER g AS pc, lag(strand) OVER g AS pst, lag(start) OVER g AS p0, lag(stop) OVER g AS p1 FROM tests WINDOW g AS (ORDER BY region_id)) SELECT_ count(*) FILTER ((chrom, strand, start) < (pc, pst, p0)) AS unsorted, count(*) FILTER (chrom = pc AND strand = pst AND start >= p0 AND stop <= p1) AS inclusions, count(*) FILTER (chrom = pc AND strand = pst AND start <= p1 AND stop >= p0) AS overlaps FROM o WHERE pc IS NOT NULL")
-_add("set_annotator", lambda s, d: _one(sets.annotator(_sparse_tests(s, d), 500, 60)),
+_add("set_annotator", lambda s, d: _one(sets.annotator(X.tests(s, d), 500, 60)),
      _HALF + "f AS (SELECT region_id, chrom, strand, CASE WHEN strand = '+' THEN greatest(start - 500, 1) ELSE stop + 1 END AS start, CASE WHEN strand = '+' THEN start - 1 ELSE stop + 500 END AS stop FROM t2), v AS (SELECT * FROM f WHERE start <= stop), e AS (SELECT a.*, max(b.stop) FILTER (a.strand = '+' AND b.stop < a.stop) AS hi, min(b.start) FILTER (a.strand = '-' AND b.start > a.start) AS lo FROM v a LEFT JOIN v b ON a.chrom = b.chrom AND a.strand = b.strand AND a.region_id <> b.region_id AND a.start <= b.stop AND a.stop >= b.start GROUP BY ALL), z AS (SELECT region_id, chrom, strand, CASE WHEN hi IS NULL THEN start WHEN stop - hi < 60 THEN greatest(1, stop - 59) ELSE hi + 1 END AS start, CASE WHEN lo IS NULL THEN stop WHEN lo - start < 60 THEN start + 59 ELSE lo - 1 END AS stop FROM e) SELECT_ * FROM z WHERE start <= stop")
 _add("set_bedgraph", lambda s, d: sets.bedgraph(X.tests(s, d)), "SELECT_ region_id, chrom, start, start AS stop, label FROM tests WHERE strand = '+'")
-_add("set_partition", lambda s, d: sets.partition(_sparse_tests(s, d)).selectExpr("iv[0].chrom AS chrom", "iv[0].strand AS strand", "iv[0].start AS start", "iv[0].stop AS stop", "label"),
+_add("set_partition", lambda s, d: sets.partition(X.tests(s, d)).selectExpr("iv[0].chrom AS chrom", "iv[0].strand AS strand", "iv[0].start AS start", "iv[0].stop AS stop", "label"),
      _HALF + "c AS (SELECT DISTINCT chrom, strand, unnest([start, stop + 1]) AS pos FROM t2), p AS (SELECT chrom, strand, pos AS start, lead(pos) OVER (PARTITION BY chrom, strand ORDER BY pos) - 1 AS stop FROM c) SELECT_ p.chrom, p.strand, p.start, p.stop, string_agg(t2.label, ',' ORDER BY t2.label) AS label FROM p JOIN t2 ON p.chrom = t2.chrom AND p.strand = t2.strand AND p.start <= t2.stop AND p.stop >= t2.start GROUP BY ALL")
 _add("set_rev", lambda s, d: _one(sets.rev(X.tests(s, d))), f"SELECT_ {FLAT} FROM tests")
 _add("set_cluster", lambda s, d: _one(sets.cluster(X.tests(s, d))))
@@ -123,8 +119,8 @@ _add("ovl_overlap_unstranded", lambda s, d: overlaps.overlap(X.tests(s, d), X.re
 _SPL = "env AS (SELECT region_id, chrom, strand, min(start) AS start, max(stop) AS stop FROM apart GROUP BY ALL), "
 _add("ovl_overlap_spliced", lambda s, d: overlaps.overlap(X.tests(s, d), X.spliced(s, d, apart=True)).select("region_id", "ref_id"), f"SELECT_ DISTINCT t.region_id, r.region_id AS ref_id FROM tests t JOIN apart r ON {MEET}")
 _add("ovl_overlap_gaps", lambda s, d: overlaps.overlap(X.tests(s, d), X.spliced(s, d, apart=True), gaps=True).select("region_id", "ref_id"), _SPL.rstrip(", ") + f" SELECT_ t.region_id, r.region_id AS ref_id FROM tests t JOIN env r ON {MEET}")
-_add("ovl_subset", lambda s, d: _one(overlaps.subset(X.tests(s, d), _sparse_tests(s, d))), _HALF.rstrip(", ") + f" SELECT_ {FLAT} FROM tests t WHERE EXISTS (SELECT 1 FROM t2 r WHERE {MEET})")
-_add("ovl_subset_inv", lambda s, d: _one(overlaps.subset(X.tests(s, d), _sparse_tests(s, d), inverse=True)), _HALF.rstrip(", ") + f" SELECT_ {FLAT} FROM tests t WHERE NOT EXISTS (SELECT 1 FROM t2 r WHERE {MEET})")
+_add("ovl_subset", lambda s, d: _one(overlaps.subset(X.tests(s, d), X.refs(s, d))), _HALF.rstrip(", ") + f" SELECT_ {FLAT} FROM tests t WHERE EXISTS (SELECT 1 FROM t2 r WHERE {MEET})")
+_add("ovl_subset_inv", lambda s, d: _one(overlaps.subset(X.tests(s, d), X.refs(s, d), inverse=True)), _HALF.rstrip(", ") + f" SELECT_ {FLAT} FROM tests t WHERE NOT EXISTS (SELECT 1 FROM t2 r WHERE {MEET})")
 _add("ovl_intersect", lambda s, d: _one(overlaps.intersect(X.tests(s, d), X.refs(s, d)), "ref_id"), f"SELECT_ t.region_id, r.region_id AS ref_id, t.chrom, t.strand, greatest(t.start, r.start) AS start, least(t.stop, r.stop) AS stop FROM tests t JOIN refs r ON {MEET}")
 _add("ovl_count", lambda s, d: overlaps.count(X.reads(s, d), X.refs(s, d)).select("region_id", "hits"), f"h AS (SELECT r.region_id, count(*) AS n FROM reads t JOIN refs r ON {MEET} GROUP BY 1) SELECT_ refs.region_id, coalesce(n, 0)::DOUBLE AS hits FROM refs LEFT JOIN h USING (region_id)")
 _add("ovl_count_weighted", lambda s, d: overlaps.count(X.reads(s, d), X.refs(s, d), max_label_value=20, least=5).select("region_id", "hits"), f"h AS (SELECT r.region_id, sum(least(20, t.label::DOUBLE)) AS hits FROM reads t JOIN refs r ON {MEET} GROUP BY 1) SELECT_ region_id, hits FROM h WHERE hits >= 5")
@@ -141,11 +137,10 @@ _add("ovl_offset_frac", lambda s, d: overlaps.offset(X.tests(s, d), X.refs(s, d)
 _add("ovl_offset_centre", lambda s, d: overlaps.offset(X.tests(s, d), X.refs(s, d), centre=True).select("region_id", "ref_id", "start_offset"), f"SELECT_ t.region_id, r.region_id AS ref_id, trunc((({_a}) + ({_b})) / 2)::BIGINT AS start_offset FROM tests t JOIN refs r ON {MEET}")
 _add("ovl_offset_skipgaps", lambda s, d: overlaps.offset_without_gaps(X.reads(s, d), X.spliced(s, d, apart=True)).selectExpr("region_id", "ref_id", "cast(k as bigint) AS k", "start", "start_offset", "stop_offset"),
      f"e AS (SELECT *, min(start) OVER w AS lo, max(stop) OVER w AS hi, coalesce(sum(start - pstop - 1) OVER (PARTITION BY region_id ORDER BY k), 0) AS before, coalesce(sum(nstart - stop - 1) OVER (PARTITION BY region_id ORDER BY k DESC), 0) AS after FROM (SELECT *, lag(stop) OVER (PARTITION BY region_id ORDER BY k) AS pstop, lead(start) OVER (PARTITION BY region_id ORDER BY k) AS nstart FROM apart) WINDOW w AS (PARTITION BY region_id)) SELECT_ t.region_id, r.region_id AS ref_id, r.k, t.start, (CASE WHEN t.strand = '-' THEN hi - t.stop - after ELSE t.start - lo - before END)::BIGINT AS start_offset, (CASE WHEN t.strand = '-' THEN hi - t.start - after ELSE t.stop - lo - before END)::BIGINT AS stop_offset FROM reads t JOIN e r ON t.chrom = r.chrom AND t.strand = r.strand AND t.start >= r.start AND t.stop <= r.stop AND t.start <= t.stop")
-_add("ovl_annotate", lambda s, d: overlaps.annotate(X.tests(s, d), _sparse_tests(s, d), upstream_max=500, upstream_min=60, proximal=100).selectExpr("region_id", "ref_id", "kind", "offset", "round(normalized, 6) AS normalized", "tag"),
+_add("ovl_annotate", lambda s, d: overlaps.annotate(X.tests(s, d), X.tests(s, d), upstream_max=500, upstream_min=60, proximal=100).selectExpr("region_id", "ref_id", "kind", "offset", "round(normalized, 6) AS normalized", "tag"),
      S["set_annotator"][len(X.CTES) :].replace("SELECT * FROM z WHERE start <= stop", f", r2 AS (SELECT * FROM z WHERE start <= stop), j AS (SELECT t.region_id, r.region_id AS ref_id, 'gene' AS kind, ({_OFF['5p'][0]})::DOUBLE AS o, r.stop - r.start + 1 AS size FROM tests t JOIN t2 r ON {MEET} UNION ALL SELECT t.region_id, r.region_id, 'upstream', ({_OFF['3p'][0]})::DOUBLE, r.stop - r.start + 1 FROM tests t JOIN r2 r ON {MEET}) SELECT_ region_id, ref_id, kind, o AS \"offset\", round(o / size, 6) AS normalized, CASE WHEN kind = 'upstream' THEN CASE WHEN o >= 100 THEN 'distal' ELSE 'proximal' END WHEN o > 100 THEN 'distal:downstream' ELSE 'proximal:downstream' END AS tag FROM j"))
 _SIDE = "JOIN refs {r} ON p.chrom_{x} = {r}.chrom AND p.strand_{x} = {r}.strand AND p.start_{x} <= {r}.stop AND p.start_{x} + 49 >= {r}.start"
-_add("ovl_bin_pairs", lambda s, d: overlaps.bin_pairs(X.pairs(s, d).where("region_id % 20 = 1"), X.refs(s, d)), f"SELECT_ p.region_id, r1.region_id AS ref_1, r2.region_id AS ref_2 FROM prs p {_SIDE.format(r='r1', x='a')} {_SIDE.format(r='r2', x='b')} WHERE p.region_id % 20 = 1")
-Q["ovl_bin_pairs"] = lambda s, d: overlaps.bin_pairs(X.pairs(s, d), _sparse_tests(s, d))
+_add("ovl_bin_pairs", lambda s, d: overlaps.bin_pairs(X.pairs(s, d), X.tests(s, d)), f"SELECT_ p.region_id, r1.region_id AS ref_1, r2.region_id AS ref_2 FROM prs p {_SIDE.format(r='r1', x='a')} {_SIDE.format(r='r2', x='b')} WHERE p.region_id % 20 = 1")
 S["ovl_bin_pairs"] = X.CTES + _HALF.rstrip(", ") + f" SELECT p.region_id, r1.region_id AS ref_1, r2.region_id AS ref_2 FROM prs p {_SIDE.format(r='r1', x='a')} {_SIDE.format(r='r2', x='b')}".replace("JOIN refs", "JOIN t2")
 _P = {(op, x): f"CASE WHEN p.strand_{x} = '{'-' if op == '3p' else '+'}' THEN p.start_{x} ELSE p.start_{x} + 49 END" for op in ("3p", "5p") for x in "ab"}
 
@@ -159,7 +154,7 @@ def _end(k, op, other, x):
 
 
 _ENDS = ", ".join(_end(k, *e) for k, e in enumerate((("3p", "5p", "a"), ("3p", "5p", "b"), ("5p", "3p", "a"), ("5p", "3p", "b"))))
-_add("ovl_dist", lambda s, d: overlaps.pair_dist(X.pairs(s, d), _sparse_tests(s, d)),
+_add("ovl_dist", lambda s, d: overlaps.pair_dist(X.pairs(s, d), X.tests(s, d)),
      _HALF + _ENDS + " SELECT_ p.region_id, o0 AS offset_0, o1 AS offset_1, o2 AS offset_2, o3 AS offset_3, least(o0 + o1, o2 + o3, o0 + o3, o1 + o2) AS least_sum, CASE WHEN chrom_a = chrom_b THEN greatest(start_a, start_b) + 49 - least(start_a, start_b) END AS span FROM prs p LEFT JOIN o0 USING (region_id) LEFT JOIN o1 USING (region_id) LEFT JOIN o2 USING (region_id) LEFT JOIN o3 USING (region_id) WHERE coalesce(o0, o1, o2, o3) IS NOT NULL")
 _add("ovl_per_test_count", lambda s, d: overlaps.per_test_count(X.tests(s, d), X.refs(s, d)), f"SELECT_ t.region_id, count(*) AS hits FROM tests t JOIN refs r ON {MEET} GROUP BY 1")
 
@@ -167,7 +162,7 @@ _WIN = "m AS (SELECT t.chrom, strand, (start - 1) // 50 AS b, count(*) AS n FROM
 _add("scan_counts", lambda s, d: scans.counts(X.reads(s, d), X.genome(s), size=500, step=50, least=3), _WIN + "SELECT_ chrom, strand, k0 + 1 AS k, k0 * 50 + 1 AS start, k0 * 50 + 500 AS stop, n::DOUBLE AS n FROM w WHERE n >= 3")
 _add("scan_counts_dense", lambda s, d: scans.counts(X.reads(s, d), X.genome(s), size=500, step=500, least=0, stranded=False), "m AS (SELECT chrom, (start - 1) // 500 AS b, count(*) AS n FROM reads GROUP BY ALL) SELECT_ g.chrom, '+' AS strand, b0 + 1 AS k, b0 * 500 + 1 AS start, b0 * 500 + 500 AS stop, coalesce(n, 0)::DOUBLE AS n FROM genome g CROSS JOIN range(220) t(b0) LEFT JOIN m ON m.chrom = g.chrom AND m.b = b0")
 _add("scan_counts_points", lambda s, d: scans.counts(X.reads(s, d), X.genome(s), size=100, step=100, op="p"), "m AS (SELECT chrom, strand, b, sum(least(stop, (b + 1) * 100) - greatest(start, b * 100 + 1) + 1) AS n FROM reads, range(1100) t(b) WHERE b BETWEEN (start - 1) // 100 AND (stop - 1) // 100 GROUP BY ALL) SELECT_ chrom, strand, b + 1 AS k, b * 100 + 1 AS start, b * 100 + 100 AS stop, n::DOUBLE AS n FROM m WHERE n >= 1")
-_add("scan_counts_ref", lambda s, d: scans.counts(X.reads(s, d), X.genome(s), size=500, step=50, least=3, ref=_sparse_tests(s, d)), _HALF + _WIN + "SELECT_ chrom, strand, k0 + 1 AS k, k0 * 50 + 1 AS start, k0 * 50 + 500 AS stop, n::DOUBLE AS n FROM w WHERE n >= 3 AND EXISTS (SELECT 1 FROM t2 r WHERE r.chrom = w.chrom AND r.strand = w.strand AND r.start <= k0 * 50 + 500 AND r.stop >= k0 * 50 + 1)")
+_add("scan_counts_ref", lambda s, d: scans.counts(X.reads(s, d), X.genome(s), size=500, step=50, least=3, ref=X.tests(s, d)), _HALF + _WIN + "SELECT_ chrom, strand, k0 + 1 AS k, k0 * 50 + 1 AS start, k0 * 50 + 500 AS stop, n::DOUBLE AS n FROM w WHERE n >= 3 AND EXISTS (SELECT 1 FROM t2 r WHERE r.chrom = w.chrom AND r.strand = w.strand AND r.start <= k0 * 50 + 500 AND r.stop >= k0 * 50 + 1)")
 
 
 def _split(s, d):
@@ -221,7 +216,7 @@ _vec("div", vectors.div, "SELECT_ c.row_id, c.j - 1 AS j, round(c.x / v[1], 6) A
 _vec("exp", lambda v: vectors.exp(v, 2.0), "SELECT_ row_id, j, round(pow(2.0::DOUBLE, x), 6) AS x FROM cell")
 _vec("log", lambda v: vectors.log(v, 2.0, 1.0), "SELECT_ row_id, j, round(ln(x + 1) / ln(2.0::DOUBLE), 6) AS x FROM cell")
 _vec("pow", lambda v: vectors.pow_(v, 3), "SELECT_ row_id, j, round(pow(x, 3), 6) AS x FROM cell")
-_vec("fold", lambda v: vectors.fold(v.withColumn("v", F.slice("v", 1, 5))), "c AS (SELECT * FROM cell WHERE j < 5), p AS (SELECT *, lag(x) OVER (PARTITION BY row_id ORDER BY j) AS px, first(x) OVER (PARTITION BY row_id ORDER BY j) AS x0 FROM c) SELECT_ row_id, j, round(x, 6) AS x FROM c UNION ALL SELECT row_id, 5 + 2 * (j - 1) + h, round(CASE WHEN h = 0 THEN x / x0 ELSE x / px END - 1, 6) FROM p, range(2) t(h) WHERE j > 0")
+_vec("fold", vectors.fold, "c AS (SELECT * FROM cell WHERE j < 5), p AS (SELECT *, lag(x) OVER (PARTITION BY row_id ORDER BY j) AS px, first(x) OVER (PARTITION BY row_id ORDER BY j) AS x0 FROM c) SELECT_ row_id, j, round(x, 6) AS x FROM c UNION ALL SELECT row_id, 5 + 2 * (j - 1) + h, round(CASE WHEN h = 0 THEN x / x0 ELSE x / px END - 1, 6) FROM p, range(2) t(h) WHERE j > 0")
 _add("vec_format", lambda s, d: vectors.format_(X.vec(s, d), "%.3f", ",").select("row_id", "text"), "SELECT_ row_id, string_agg(printf('%.3f', x), ',' ORDER BY j) AS text FROM cell GROUP BY row_id")
 _add("vec_hist", lambda s, d: vectors.hist(X.vec(s, d), 10, -0.5, 0.5).selectExpr("bin", "round(start, 6) AS start", "round(fraction, 9) AS fraction", "count"), "h AS (SELECT floor(10 * ((x + 0.5) / 1.0::DOUBLE))::INTEGER AS bin, count(*) AS n FROM cell WHERE x + 0.5 >= 0 AND x + 0.5 < 1 GROUP BY 1) SELECT_ k::INTEGER AS bin, round(-0.5 + k * 0.1::DOUBLE, 6) AS start, round(coalesce(n, 0) / (SELECT sum(n) FROM h)::DOUBLE, 9) AS fraction, coalesce(n, 0) AS count FROM range(10) t(k) LEFT JOIN h ON h.bin = k")
 _val("imax", vectors.imax, f"(list_position(v, {NUM('max')}) - 1)::BIGINT", False)
@@ -279,7 +274,7 @@ Q["mat_format"], S["mat_format"] = Q["vec_format"], S["vec_format"]
 _mat("shrink", lambda v: matrix.shrink(v.withColumn("v", F.transform("v", lambda x, j: F.when(j % 3 == 0, 0.0).otherwise(x)))), "SELECT_ row_id, j - 1 - j // 3 AS j, round(x, 6) AS x FROM cell WHERE j % 3 <> 0")
 _mat("rel", matrix.rel, "SELECT_ row_id, j - 1 AS j, round(x / px, 6) AS x FROM (SELECT *, lag(x) OVER (PARTITION BY row_id ORDER BY j) AS px FROM cell) WHERE px IS NOT NULL")
 _mat("rel_first", lambda v: matrix.rel(v, "first"), S["vec_div"][len(X.CTES) :].replace("_u AS (SELECT 1)\nSELECT ", "SELECT_ "))
-_add("mat_rel_all", lambda s, d: _cells(matrix.rel(X.vec(s, d).withColumn("v", F.slice("v", 1, 4)), "all")), "SELECT_ a.row_id, row_number() OVER (PARTITION BY a.row_id ORDER BY a.j, b.j) - 1 AS j, round(b.x / a.x, 6) AS x FROM cell a JOIN cell b ON a.row_id = b.row_id AND a.j < b.j AND b.j < 4")
+_add("mat_rel_all", lambda s, d: _cells(matrix.rel(X.vec(s, d), "all")), "SELECT_ a.row_id, row_number() OVER (PARTITION BY a.row_id ORDER BY a.j, b.j) - 1 AS j, round(b.x / a.x, 6) AS x FROM cell a JOIN cell b ON a.row_id = b.row_id AND a.j < b.j AND b.j < 4")
 _add("mat_del", lambda s, d: matrix.drop_correlated(matrix.transpose(X.vec(s, d)).withColumn("label", F.lit("c")), 0.3).select("row_id"))
 
 _YS = {
