@@ -67,9 +67,9 @@ def q_cutoff(pairs: DataFrame, qval: float) -> float:
     before = W.orderBy("tile").rowsBetween(W.unboundedPreceding, -1)
     tiles = tiles.select("tile", F.coalesce(F.sum("a").over(before), F.lit(0)).alias("a0"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"))
     inner = W.partitionBy("tile").orderBy("p").rowsBetween(W.unboundedPreceding, 0)
-    q = distinct.join(F.broadcast(tiles), "tile").select("p", "a", (F.sum("a").over(inner) + F.col("a0")).alias("k"), (F.sum("b").over(inner) + F.col("b0")).alias("null"))
+    q = distinct.join(F.broadcast(tiles), "tile").select("p", "a", (F.sum("a").over(inner) + F.col("a0")).alias("k"), (F.sum("b").over(inner) + F.col("b0")).alias("n_null"))
     n = pairs.count()
-    best = q.where("a > 0").where(f"null / k <= {qval} AND k > 1").agg(F.max("p")).first()[0] if n > 1 else None
+    best = q.where((F.col("a") > 0) & (F.col("n_null") / F.col("k") <= qval) & (F.col("k") > 1)).agg(F.max("p")).first()[0] if n > 1 else None
     return -1.0 if best is None else best
 
 

@@ -87,6 +87,24 @@ def test_windows(make, genome):
     assert scans.peaks(reads, genome, size=4, step=2, pval=1.0, qval=1.0, seed=1).columns == ["chrom", "strand", "start", "stop", "v1", "v2", "p1", "p2"]
 
 
+def test_q_cutoff(spark):
+    cases = [[(i / 1000, (i * 37 % 101 + 20) / 150) for i in range(1, 101)], [(0.0, 0.5), (0.0, 0.6), (0.01, 0.001), (0.2, 0.1)], [(0.1, 0.9)], [(0.3, 0.0), (0.4, 0.0)]]
+    for rows in cases:
+        for qval in (0.0, 0.05, 0.3, 1.0):
+            good = [p for p, _ in rows if (k := sum(x <= p for x, _ in rows)) > 1 and sum(y <= p for _, y in rows) / k <= qval]
+            assert scans.q_cutoff(spark.createDataFrame(rows, "p1 double, p2 double"), qval) == max(good, default=-1.0)
+    assert scans.q_cutoff(spark.createDataFrame(cases[0], "p1 double, p2 double"), 0.05) > 0
+
+
+@pytest.mark.parametrize("method", ["binomial", "poisson", "binomial2", "cbinomial", "normal"])
+def test_peaks_are_found(make, genome, method):
+    """40 reads more in two windows of the signal, spread evenly in the control."""
+    signal = make(*[("x", "+", [(p, p)]) for p in [201 + i % 40 for i in range(40)] + [601 + i % 40 for i in range(40)] + list(range(1, 1000, 20))])
+    control = make(*[("x", "+", [(p, p)]) for p in range(1, 1000, 8)])
+    got = scans.peaks(signal, genome.withColumn("length", F.lit(1000)), control, size=50, step=50, pval=0.05, qval=0.05, method=method, compare=True).collect()
+    assert sorted((r.start, r.stop, r.v1) for r in got) == [(201, 250, 43.0), (601, 650, 43.0)]
+
+
 def test_tails():
     assert abs(binomial_tail([25], 0.018, 501)[0] - 2.286733848e-06) < 1e-12
     assert abs(poisson_tail([10], [5.0])[0] - 0.013695269) < 1e-8 and abs(t_tail([2.0], [10])[0] - 0.036694017) < 1e-8
