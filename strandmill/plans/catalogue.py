@@ -159,10 +159,10 @@ _add("ovl_dist", lambda s, d: overlaps.pair_dist(X.pairs(s, d), X.tests(s, d)),
 _add("ovl_per_test_count", lambda s, d: overlaps.per_test_count(X.tests(s, d), X.refs(s, d)), f"SELECT_ t.region_id, count(*) AS hits FROM tests t JOIN refs r ON {MEET} GROUP BY 1")
 
 _WIN = "m AS (SELECT t.chrom, strand, (start - 1) // 50 AS b, count(*) AS n FROM reads t WHERE start >= 1 AND (start - 1) // 50 < 2200 GROUP BY ALL), w AS (SELECT chrom, strand, b - h AS k0, sum(n) AS n FROM m, range(10) t(h) WHERE b - h BETWEEN 0 AND 2190 GROUP BY ALL) "
-_add("scan_counts", lambda s, d: scans.counts(X.reads(s, d), X.genome(s), size=500, step=50, least=3), _WIN + "SELECT_ chrom, strand, k0 + 1 AS k, k0 * 50 + 1 AS start, k0 * 50 + 500 AS stop, n::DOUBLE AS n FROM w WHERE n >= 3")
-_add("scan_counts_dense", lambda s, d: scans.counts(X.reads(s, d), X.genome(s), size=500, step=500, least=0, stranded=False), "m AS (SELECT chrom, (start - 1) // 500 AS b, count(*) AS n FROM reads GROUP BY ALL) SELECT_ g.chrom, '+' AS strand, b0 + 1 AS k, b0 * 500 + 1 AS start, b0 * 500 + 500 AS stop, coalesce(n, 0)::DOUBLE AS n FROM genome g CROSS JOIN range(220) t(b0) LEFT JOIN m ON m.chrom = g.chrom AND m.b = b0")
-_add("scan_counts_points", lambda s, d: scans.counts(X.reads(s, d), X.genome(s), size=100, step=100, op="p"), "m AS (SELECT chrom, strand, b, sum(least(stop, (b + 1) * 100) - greatest(start, b * 100 + 1) + 1) AS n FROM reads, range(1100) t(b) WHERE b BETWEEN (start - 1) // 100 AND (stop - 1) // 100 GROUP BY ALL) SELECT_ chrom, strand, b + 1 AS k, b * 100 + 1 AS start, b * 100 + 100 AS stop, n::DOUBLE AS n FROM m WHERE n >= 1")
-_add("scan_counts_ref", lambda s, d: scans.counts(X.reads(s, d), X.genome(s), size=500, step=50, least=3, ref=X.tests(s, d)), _HALF + _WIN + "SELECT_ chrom, strand, k0 + 1 AS k, k0 * 50 + 1 AS start, k0 * 50 + 500 AS stop, n::DOUBLE AS n FROM w WHERE n >= 3 AND EXISTS (SELECT 1 FROM t2 r WHERE r.chrom = w.chrom AND r.strand = w.strand AND r.start <= k0 * 50 + 500 AND r.stop >= k0 * 50 + 1)")
+_add("scan_counts", lambda s, d: scans.counts(X.reads(s, d), X.genome(s, X.reads(s, d)), size=500, step=50, least=3), _WIN + "SELECT_ chrom, strand, k0 + 1 AS k, k0 * 50 + 1 AS start, k0 * 50 + 500 AS stop, n::DOUBLE AS n FROM w WHERE n >= 3")
+_add("scan_counts_dense", lambda s, d: scans.counts(X.reads(s, d), X.genome(s, X.reads(s, d)), size=500, step=500, least=0, stranded=False), "m AS (SELECT chrom, (start - 1) // 500 AS b, count(*) AS n FROM reads GROUP BY ALL) SELECT_ g.chrom, '+' AS strand, b0 + 1 AS k, b0 * 500 + 1 AS start, b0 * 500 + 500 AS stop, coalesce(n, 0)::DOUBLE AS n FROM genome g CROSS JOIN range(220) t(b0) LEFT JOIN m ON m.chrom = g.chrom AND m.b = b0")
+_add("scan_counts_points", lambda s, d: scans.counts(X.reads(s, d), X.genome(s, X.reads(s, d)), size=100, step=100, op="p"), "m AS (SELECT chrom, strand, b, sum(least(stop, (b + 1) * 100) - greatest(start, b * 100 + 1) + 1) AS n FROM reads, range(1100) t(b) WHERE b BETWEEN (start - 1) // 100 AND (stop - 1) // 100 GROUP BY ALL) SELECT_ chrom, strand, b + 1 AS k, b * 100 + 1 AS start, b * 100 + 100 AS stop, n::DOUBLE AS n FROM m WHERE n >= 1")
+_add("scan_counts_ref", lambda s, d: scans.counts(X.reads(s, d), X.genome(s, X.reads(s, d)), size=500, step=50, least=3, ref=X.tests(s, d)), _HALF + _WIN + "SELECT_ chrom, strand, k0 + 1 AS k, k0 * 50 + 1 AS start, k0 * 50 + 500 AS stop, n::DOUBLE AS n FROM w WHERE n >= 3 AND EXISTS (SELECT 1 FROM t2 r WHERE r.chrom = w.chrom AND r.strand = w.strand AND r.start <= k0 * 50 + 500 AND r.stop >= k0 * 50 + 1)")
 
 
 def _split(s, d):
@@ -171,8 +171,8 @@ def _split(s, d):
 
 
 for _m in ("binomial", "poisson", "binomial2", "cbinomial", "normal"):
-    _add(f"scan_peaks_{_m}", lambda s, d, m=_m: scans.peaks(*(lambda a, b: (a, X.genome(s), b))(*_split(s, d)), size=500, step=100, pval=0.05, qval=0.5, method=m, compare=True))
-_add("scan_peaks_random", lambda s, d: scans.peaks(X.reads(s, d), X.genome(s), size=500, step=100, pval=0.05, qval=0.5, seed=3))
+    _add(f"scan_peaks_{_m}", lambda s, d, m=_m: scans.peaks(*(lambda a, b: (a, X.genome(s, X.reads(s, d)), b))(*_split(s, d)), size=500, step=100, pval=0.05, qval=0.5, method=m, compare=True))
+_add("scan_peaks_random", lambda s, d: scans.peaks(X.reads(s, d), X.genome(s, X.reads(s, d)), size=500, step=100, pval=0.05, qval=0.5, seed=3))
 
 _MID = f"(({_OFF['5p'][0]}) + ({_OFF['5p'][1]})) / 2.0"
 _WIDE = "wide AS (SELECT region_id, chrom, strand, start - CASE WHEN strand = '+' THEN 300 ELSE 500 END AS start, stop + CASE WHEN strand = '+' THEN 500 ELSE 300 END AS stop FROM refs), "
@@ -180,10 +180,10 @@ _add("app_profile", lambda s, d: profiles.profile(X.tests(s, d), X.refs(s, d), u
      _WIDE + f"z AS (SELECT ({_MID}) / 800 AS z FROM tests t JOIN wide r ON {MEET}), h AS (SELECT floor(20 * z)::INTEGER AS bin, count(*) AS n FROM z WHERE z >= 0 AND z < 1 GROUP BY 1) SELECT_ b::INTEGER AS bin, round(coalesce(n, 0) / (SELECT count(*) FROM refs)::DOUBLE, 9) AS value FROM range(20) t(b) LEFT JOIN h ON h.bin = b")
 _add("app_heatmap", lambda s, d: profiles.heatmap(X.tests(s, d), X.refs(s, d), upstream=300, downstream=500, bins=8, smooth=1).select("region_id", F.posexplode("v").alias("bin", "value")).selectExpr("region_id", "bin", "round(value, 6) AS value"),
      _WIDE + f"z AS (SELECT r.region_id, floor(8 * ({_MID}) / 800)::INTEGER AS b FROM tests t JOIN wide r ON {MEET} WHERE ({_MID}) / 800 >= 0 AND ({_MID}) / 800 < 1), h AS (SELECT region_id, b, count(*) AS n FROM z GROUP BY ALL), g AS (SELECT refs.region_id, b0::INTEGER AS bin, coalesce(n, 0) AS n FROM refs CROSS JOIN range(8) t(b0) LEFT JOIN h ON h.region_id = refs.region_id AND h.b = b0) SELECT_ region_id, bin, round(avg(n) OVER (PARTITION BY region_id ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS value FROM g")
-_add("app_peakdiff_scan", lambda s, d: profiles.peakdiff_scan({"a": [_split(s, d)[0]], "b": [_split(s, d)[1]]}, X.genome(s), size=500, step=500, pval=0.01))
-_add("app_peakdiff", lambda s, d: profiles.peakdiff(profiles.peakdiff_scan({"a": [_split(s, d)[0]], "b": [_split(s, d)[1]]}, X.genome(s), pval=0.5), "a", "b"))
+_add("app_peakdiff_scan", lambda s, d: profiles.peakdiff_scan({"a": [_split(s, d)[0]], "b": [_split(s, d)[1]]}, X.genome(s, X.reads(s, d)), size=500, step=500, pval=0.01))
+_add("app_peakdiff", lambda s, d: profiles.peakdiff(profiles.peakdiff_scan({"a": [_split(s, d)[0]], "b": [_split(s, d)[1]]}, X.genome(s, X.reads(s, d)), pval=0.5), "a", "b"))
 
-_add("hic_filter", lambda s, d: hic.classify(X.hic_reads(s, d), X.fragments(s)).select("read_id", "class"),
+_add("hic_filter", lambda s, d: hic.classify(X.hic_reads(s, d), X.fragments(s, d)).select("read_id", "class"),
      "a AS (SELECT o_orderkey AS read_id, CASE WHEN o_orderkey % 13 = 0 THEN '*' ELSE 'chr' || (o_custkey % 10) END AS ca, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS sa, 1 + (o_orderkey * 7919) % 100000 + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 49 END AS pa, o_orderkey % 11 = 0 AS ma, o_orderkey % 17 <> 0 AS mated, CASE WHEN o_custkey % 13 = 0 THEN '*' ELSE 'chr' || (o_custkey % 10) END AS cb, CASE WHEN o_custkey % 2 = 0 THEN '+' ELSE '-' END AS sb, 1 + (o_orderkey * 7919) % 100000 + o_custkey * 3 + CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE 49 END AS pb, o_custkey % 7 = 0 AS mb FROM orders), "
      "f AS (SELECT *, CASE WHEN (pa - 1) % 4000 < 3990 AND pa <= 27 * 4000 THEN (pa - 1) // 4000 END AS fa, CASE WHEN (pb - 1) % 4000 < 3990 AND pb <= 27 * 4000 THEN (pb - 1) // 4000 END AS fb FROM a), g AS (SELECT *, least(pa - fa * 4000 - 1, fa * 4000 + 3990 - pa) AS oa, least(pb - fb * 4000 - 1, fb * 4000 + 3990 - pb) AS ob FROM f) "
      "SELECT_ read_id, CASE WHEN NOT mated THEN 'unpaired' WHEN ca = '*' AND cb = '*' THEN 'unmapped' WHEN ma AND mb THEN 'multihit' WHEN ca <> '*' AND cb <> '*' AND NOT ma AND NOT mb THEN CASE WHEN fa IS NULL OR fb IS NULL THEN 'no-fragment' WHEN ca = cb AND fa = fb THEN 'same-fragment' WHEN sa <> sb AND abs(pa - pb) < 1000 AND ca = cb THEN 'small-distance' WHEN oa <= 500 AND ob <= 500 THEN 'proximal' ELSE 'distal' END WHEN ca <> '*' OR cb <> '*' THEN 'single' ELSE 'unmapped-multihit' END AS class FROM g")

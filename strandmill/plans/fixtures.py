@@ -44,8 +44,11 @@ def spliced(spark, d, *, apart=False):
     return table(spark, d, "orders").selectExpr("o_orderkey AS region_id", "concat('r', o_orderkey) AS label", f"transform(sequence(0, cast(o_orderkey % 3 as int)), k -> {iv}) AS iv")
 
 
-def genome(spark):
-    return spark.range(CHROMS).selectExpr("concat('chr', id) AS chrom", f"cast({LENGTH} as bigint) AS length")
+def genome(spark, regions=None):
+    """Chromosomes of LENGTH, which holds refs, tests, spliced and pairs at every scale; longer, by whole thousands, where ``regions`` reach further."""
+    reach = regions.select(F.explode("iv.stop").alias("stop")).agg(F.max("stop")).first()[0] if regions is not None else None
+    length = max(LENGTH, -(-(reach or 0) // 1000) * 1000)
+    return spark.range(CHROMS).selectExpr("concat('chr', id) AS chrom", f"cast({length} as bigint) AS length")
 
 
 def pairs(spark, d):
@@ -63,10 +66,11 @@ def hic_reads(spark, d):
     return o.selectExpr(*one).union(o.where("o_orderkey % 17 <> 0").selectExpr(*two))
 
 
-def fragments(spark):
-    """Restriction fragments of 4,000 positions with small gaps."""
+def fragments(spark, d):
+    """Restriction fragments of 4,000 positions with small gaps, 27 for each chromosome or as far as hic_reads reach."""
+    n = max(27, -(-(hic_reads(spark, d).agg(F.max("stop")).first()[0] or 0) // 4000))
     iv = _iv("concat('chr', c)", "'+'", "k * 4000 + 1", "k * 4000 + 3990")
-    return spark.range(CHROMS * 27).selectExpr("id", "id % 10 AS c", "id div 10 AS k").selectExpr("id AS region_id", "concat('f', id) AS label", f"array({iv}) AS iv")
+    return spark.range(CHROMS * n).selectExpr("id", "id % 10 AS c", "id div 10 AS k").selectExpr("id AS region_id", "concat('f', id) AS label", f"array({iv}) AS iv")
 
 
 def vec(spark, d):

@@ -41,3 +41,24 @@ def test_whole_vectors(spark):
         if i in v:
             mine = [r.x for r in sorted((r for r in got if r.row_id == i), key=lambda r: r.j)]
             assert mine == pytest.approx([y / x for k, x in enumerate(v[i]) for y in v[i][k + 1 :]], abs=1e-5, rel=1e-5)
+
+
+def test_no_read_lies_behind_the_genome(spark, tmp_path):
+    """Parts and customers of a larger scale: reads to 1,000,000 and more, mates to 145,000."""
+    line = spark.read.parquet(f"{SF}/lineitem.parquet")
+    line.selectExpr(*("cast(20001 - l_partkey AS bigint) AS l_partkey" if c == "l_partkey" else c for c in line.columns)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    orders.selectExpr(*("cast(15001 - o_custkey AS bigint) AS o_custkey" if c == "o_custkey" else c for c in orders.columns)).write.parquet(f"{tmp_path}/orders.parquet")
+    q = catalogue.queries()
+    assert q["scan_counts_dense"](spark, str(tmp_path)).groupBy().sum("n").first()[0] == line.count()
+    reach = catalogue.X.genome(spark, catalogue.X.reads(spark, str(tmp_path))).first().length
+    assert 1_000_000 < reach < 1_010_000 and catalogue.X.genome(spark, catalogue.X.reads(spark, SF)).first().length == catalogue.X.LENGTH
+    mates = catalogue.X.hic_reads(spark, str(tmp_path)).selectExpr("CASE WHEN strand = '+' THEN start ELSE stop END AS p", "chrom")
+    assert mates.where("p > 27 * 4000").count() > 0
+    sure, gap = Counter(), set()
+    for r in catalogue.X.hic_reads(spark, str(tmp_path)).where("chrom <> '*' AND NOT multi").collect():
+        sure[r.read_id] += 1
+        if ((r.start if r.strand == "+" else r.stop) - 1) % 4000 >= 3990:
+            gap.add(r.read_id)
+    got = q["hic_filter"](spark, str(tmp_path)).where("class = 'no-fragment'").collect()
+    assert {r.read_id for r in got} == {i for i in gap if sure[i] == 2}
