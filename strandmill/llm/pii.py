@@ -2,16 +2,16 @@
 
 Protected entities are what fixed patterns find: e-mail addresses, IP addresses, payment cards, phone numbers;
 leftmost and without overlap within a kind, matches that fail their check are dropped.  A term is a word near
-an entity.  Over the whole corpus it is counted in how many different contexts a term stands near an entity
-(c), how many contexts the entity has, and in how many documents the term stands at all (df).  From
+an entity.  All counts are of distinct texts, so copies change nothing: in how many a term stands near an entity
+(c), and in how many the term stands at all (df).  From
 
-    PMI(term; entity) = log2((c / df) / p(entity))        IC(entity) = -log2 p(entity)
+    PMI(term; entity) = log2(p(entity | term) / p(entity))        IC(entity) = -log2 p(entity)
 
-follows what of the entity's information the term leaves open, IC - PMI = -log2(c / df).  A term that stands in
-``MIN_CONTEXTS`` contexts of the entity and leaves at most ``OPEN_BITS`` open discloses it: in documents with
-that entity, the term is a span of the kind ``term``, and sanitised texts have it generalised (names, by their
-capital, to [NAME]) or removed (others, to [TERM]).  Copies of a document share their contexts and so count
-once near an entity, but fully among the documents of a term: copying discloses nothing new.
+follows what of the entity's information the term leaves open, IC - PMI = -log2 p(entity | term).  p(entity | term)
+is c / df.  A term with a c of ``MIN_CONTEXTS`` or more that leaves at most ``OPEN_BITS`` open discloses the entity.
+In documents with that entity, the term is a span of the kind
+``term``, and sanitised texts have it generalised (names, by their capital, to [NAME]) or removed (others, to
+[TERM]).
 
 Null text counts as empty; repeated rows give repeated results; an empty table gives no rows.  All scans take
 time in proportion to the text.
@@ -37,7 +37,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of an entity that are its context; characters in which they are looked for.
 NEAR_WORDS, NEAR_CHARS = 8, 160
 MIN_CONTEXTS, OPEN_BITS = 3, 1.0
-#: Bits of the filter of terms; its size doesn't grow.
+#: Bits of the filters of terms and of copied texts; their size doesn't grow.
 FILTER_BITS = 1 << 23
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -87,8 +87,8 @@ def entity_key(kind: int, found: str) -> str:
     return f"{KINDS[kind]}:{found.lower() if kind == 0 else ''.join(c for c in found if c.isdigit() or c == '.' and kind == 1)}"
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, list[str]]]:
-    """(entity, hash of the context, its distinct terms) of each base span; terms inside of spans don't count."""
+def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, list[str]]]:
+    """(entity, the distinct terms near it) of each base span; terms inside of spans don't count."""
     bare, done = [], 0  # the text with base spans blanked, position by position
     for a, _, b in spans:
         bare += [text[done:a], " " * (b - max(a, done))]
@@ -98,8 +98,7 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, in
     for a, k, b in spans:
         before = TERM.findall(text_, max(0, a - NEAR_CHARS), a)[-NEAR_WORDS:]
         after = TERM.findall(text_, b, b + NEAR_CHARS)[:NEAR_WORDS]
-        near = [w.lower() for w in before + after]
-        out.append((entity_key(k, text[a:b]), xxhash.xxh64_intdigest("\n".join(near)) >> 1, sorted(set(near))))
+        out.append((entity_key(k, text[a:b]), sorted({w.lower() for w in before + after})))
     return out
 
 
@@ -138,63 +137,86 @@ def _spans(written: str) -> list[tuple[int, int, int]]:
     return [(int(a), KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in written.split(",") if x)]
 
 
-FOUND = "array<struct<entity:string,context:long,terms:array<string>>>"
-_FOUND_ARROW = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("terms", pa.list_(pa.string()))]))
+FOUND = "array<struct<entity:string,terms:array<string>>>"
+_FOUND_ARROW = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.string()))]))
 
 
 def _analysed(docs: DataFrame, text_col: str, carried: list[str], whole: bool) -> DataFrame:
-    """carried columns (a struct), text (whole, or only where entities are), spans, found; in the shared folder, with a row number."""
-    source = docs.select(F.struct(*carried).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """carried columns (a struct), text (whole, or only where entities are), spans, found, hash of the text; in the shared folder, with a row number."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(F.struct(*carried).alias("row"), text.alias("text"), F.xxhash64(text).alias("hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):
             texts = b.column(1).to_pylist()
             spans = [find_entities(t) for t in texts]
-            found = [[dict(zip(("entity", "context", "terms"), c, strict=True)) for c in contexts(t, s)] if s else [] for t, s in zip(texts, spans, strict=True)]
+            found = [[dict(zip(("entity", "terms"), c, strict=True)) for c in contexts(t, s)] if s else [] for t, s in zip(texts, spans, strict=True)]
             kept = texts if whole else [t if s else None for t, s in zip(texts, spans, strict=True)]
-            yield pa.record_batch([b.column(0), pa.array(kept, pa.string()), pa.array(map(_word, spans), pa.string()), pa.array(found, _FOUND_ARROW)], ["row", "text", "spans", "found"])
+            yield pa.record_batch([b.column(0), pa.array(kept, pa.string()), pa.array(map(_word, spans), pa.string()), pa.array(found, _FOUND_ARROW), b.column(2)], ["row", "text", "spans", "found", "hash"])
 
     row = source.schema["row"].dataType
-    schema = T.StructType().add("row", row).add("text", "string").add("spans", "string").add("found", T.DataType.fromDDL(FOUND))
+    schema = T.StructType().add("row", row).add("text", "string").add("spans", "string").add("found", T.DataType.fromDDL(FOUND)).add("hash", "long")
     return saved(source.mapInArrow(run, schema).withColumn("nr", F.monotonically_increasing_id()), "entities")
 
 
-def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", *, min_contexts: int = MIN_CONTEXTS, open_bits: float = OPEN_BITS) -> DataFrame:
-    """entity, term, c, df, open_bits: the terms that disclose an entity."""
-    spark = docs.sparkSession
-    met = found.select(F.explode("found").alias("f")).select("f.entity", "f.context", F.explode("f.terms").alias("term")).distinct()
-    near = saved(met.groupBy("entity", "term").agg(F.count("*").alias("c")).where(F.col("c") >= min_contexts), "near")
-    bit = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS))
-    got = near.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """The bits of a filter that passes all of ``hashes`` (column h)."""
+    bit = F.pmod(F.col("h"), F.lit(FILTER_BITS))
+    got = hashes.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in got:  # at most FILTER_BITS in all
         bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
+    return bits
+
+
+def _frequencies(terms: DataFrame, found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """term, df: the distinct texts with each of ``terms`` (and perhaps of other terms).
+
+    Texts that have no copy are summed in the batch; those that may have leave it by hash, and count once.
+    """
+    bits = _filter(terms.select(F.xxhash64("term").alias("h")))
+    copied = _filter(found.groupBy("hash").count().where("count > 1").select(F.col("hash").alias("h")))
+    shared = docs.sparkSession.sparkContext.broadcast((bits, copied))
     any_ = bool(bits.any())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = shared.value
+        have, again = shared.value
         passed: dict[str, bool] = {}
+
+        def wanted(w: str) -> bool:
+            ok = passed.get(w)
+            if ok is None:
+                if len(passed) > 500_000:
+                    passed.clear()
+                h = _spark_hash(w) % FILTER_BITS
+                ok = passed[w] = bool(have[h >> 3] >> (h & 7) & 1)
+            return ok
+
         for b in rows(batches):
             seen: Counter = Counter()
-            for t in b.column(0).to_pylist() if any_ else ():
-                seen.update(set(TERM.findall(t.lower())))
-            out = {}
-            for w, k in seen.items():
-                ok = passed.get(w)
-                if ok is None:
-                    if len(passed) > 500_000:
-                        passed.clear()
-                    h = _spark_hash(w) % FILTER_BITS
-                    ok = passed[w] = bool(have[h >> 3] >> (h & 7) & 1)
-                if ok:
-                    out[w] = k
-            yield pa.record_batch([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["term", "k"])
-
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    df = texts.mapInArrow(count, "term string, k long").groupBy("term").agg(F.sum("k").alias("df"))
+            met: dict[int, set[str]] = {}
+            for t, text_hash in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if any_ else ():
+                h = text_hash % FILTER_BITS
+                if not again[h >> 3] >> (h & 7) & 1:
+                    seen.update(set(TERM.findall(t.lower())))
+                elif text_hash not in met:
+                    met[text_hash] = {w for w in TERM.findall(t.lower()) if wanted(w)}
+            out = [(None, w, k) for w, k in seen.items() if wanted(w)] + [(h, w, 1) for h, ws in met.items() for w in ws]
+            yield pa.record_batch([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.int64()))], ["hash", "term", "k"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    every = docs.select(text.alias("text"), F.xxhash64(text).alias("hash")).mapInArrow(count, "hash long, term string, k long")
+    once = every.groupBy("hash", "term").agg(F.when(F.col("hash").isNull(), F.sum("k")).otherwise(F.lit(1)).alias("k"))
+    return once.groupBy("term").agg(F.sum("k").alias("df"))
+
+
+def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", *, min_contexts: int = MIN_CONTEXTS, open_bits: float = OPEN_BITS) -> DataFrame:
+    """entity, term: the terms that disclose an entity."""
+    met = found.select("hash", F.explode("found").alias("f")).select("hash", "f.entity", F.explode("f.terms").alias("term")).distinct()
+    near = saved(met.groupBy("entity", "term").agg(F.count("*").alias("c")).where(F.col("c") >= min_contexts), "near")
+    df = _frequencies(near.select("term").distinct(), found, docs, text_col)
     left = -F.log2(F.least(F.col("c") / F.col("df"), F.lit(1.0)))
-    return saved(near.join(df, "term").select("entity", "term", "c", "df", left.alias("open_bits")).where(F.col("open_bits") <= open_bits), "disclosing")
+    return saved(near.join(df, "term").where(left <= open_bits).select("entity", "term"), "disclosing")
 
 
 def _spark_hash(word: str) -> int:
@@ -206,7 +228,7 @@ def _with_terms(found: DataFrame, risky: DataFrame) -> DataFrame:
     """``found`` with the disclosing terms of each row's entities."""
     mine = found.select("nr", F.explode(F.array_distinct(F.transform("found", lambda f: f["entity"]))).alias("entity"))
     terms = mine.join(risky.select("entity", "term"), "entity").groupBy("nr").agg(F.collect_set("term").alias("terms"))
-    return found.drop("found").join(terms, "nr", "left")
+    return found.drop("found", "hash").join(terms, "nr", "left")
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_contexts: int = MIN_CONTEXTS, open_bits: float = OPEN_BITS) -> DataFrame:

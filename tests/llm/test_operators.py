@@ -291,6 +291,19 @@ def test_disclosing_terms(spark):
     assert {r.doc_id: r.text for r in nulls} == {1: None, 2: "[EMAIL]"}
 
 
+def test_copies_disclose_nothing_less(spark):
+    rows = [(i, f"note {i} {w} says Zanzibar writes ann@x.org about {w} at large") for i, w in enumerate(("red", "green", "blue"))]
+    rows += [(10 + i, f"other large note says text without entity {i}") for i in range(20)]
+    # One word near one address three times in a text, and in five texts without it.
+    rows += [(50, "common: bob@x.org common: bob@x.org common: bob@x.org")] + [(51 + i, f"common words {i}") for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    copied = frame.union(spark.createDataFrame([(1000 + i, rows[0][1]) for i in range(60)] + [(2000, rows[5][1])] * 3, frame.schema))
+    spans = {r.doc_id: r.spans for r in pii.scan(frame).collect()}
+    assert "term:" in spans[0] and "term:" not in spans[50]
+    got = pii.scan(copied).collect()
+    assert all(r.spans == spans[r.doc_id if r.doc_id < 1000 else 0 if r.doc_id < 2000 else 12] for r in got)
+
+
 def test_spark_hash(spark):
     words = ["", "a", "éclair", "word" * 20]
     got = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()
