@@ -3,13 +3,15 @@
 Protected entities are what fixed patterns find: e-mail addresses, IP addresses, payment cards, phone numbers;
 leftmost and without overlap within a kind, matches that fail their check are dropped.  A term is a word near
 an entity.  All counts are of distinct texts, so copies change nothing: in how many a term stands near an entity
-(c), and in how many the term stands at all (df).  From
+(c), in how many the entity stands (n), and in how many the term stands at all (df).  From
 
     PMI(term; entity) = log2(p(entity | term) / p(entity))        IC(entity) = -log2 p(entity)
 
 follows what of the entity's information the term leaves open, IC - PMI = -log2 p(entity | term).  p(entity | term)
-is c / df.  A term with a c of ``MIN_CONTEXTS`` or more that leaves at most ``OPEN_BITS`` open discloses the entity.
-In documents with that entity, the term is a span of the kind
+is c / df where c is ``MIN_CONTEXTS`` or more; below, where counts are few, it is smoothed to c / (df + ``SMOOTH``),
+and the term must stand in half of the entity's texts.  A term that leaves at most ``OPEN_BITS`` open discloses the
+entity.  So does a term near it that discloses the entity's kind, all entities of a kind taken as one; thus a name
+beside many addresses, each met once, is found.  In documents with that entity, the term is a span of the kind
 ``term``, and sanitised texts have it generalised (names, by their capital, to [NAME]) or removed (others, to
 [TERM]).
 
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +38,7 @@ from strandmill.llm.common import rows, saved, tune
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of an entity that are its context; characters in which they are looked for.
 NEAR_WORDS, NEAR_CHARS = 8, 160
-MIN_CONTEXTS, OPEN_BITS = 3, 1.0
+MIN_CONTEXTS, OPEN_BITS, SMOOTH = 3, 1.0, 0.5
 #: Bits of the filters of terms and of copied texts; their size doesn't grow.
 FILTER_BITS = 1 << 23
 
@@ -210,13 +212,26 @@ def _frequencies(terms: DataFrame, found: DataFrame, docs: DataFrame, text_col:
     return once.groupBy("term").agg(F.sum("k").alias("df"))
 
 
+def _open(min_contexts: int) -> Column:
+    few = F.col("c") < min_contexts
+    p = F.when(few, F.when(2 * F.col("c") >= F.col("n"), F.col("c") / (F.col("df") + SMOOTH))).otherwise(F.least(F.col("c") / F.col("df"), F.lit(1.0)))
+    return -F.log2(p)
+
+
 def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", *, min_contexts: int = MIN_CONTEXTS, open_bits: float = OPEN_BITS) -> DataFrame:
-    """entity, term: the terms that disclose an entity."""
-    met = found.select("hash", F.explode("found").alias("f")).select("hash", "f.entity", F.explode("f.terms").alias("term")).distinct()
-    near = saved(met.groupBy("entity", "term").agg(F.count("*").alias("c")).where(F.col("c") >= min_contexts), "near")
-    df = _frequencies(near.select("term").distinct(), found, docs, text_col)
-    left = -F.log2(F.least(F.col("c") / F.col("df"), F.lit(1.0)))
-    return saved(near.join(df, "term").where(left <= open_bits).select("entity", "term"), "disclosing")
+    """entity, term: the terms that disclose an entity, by itself or by its kind."""
+    each = found.select("hash", F.explode("found").alias("f")).select("hash", "f.entity", "f.terms")
+    sizes = each.select("entity", "hash").distinct().groupBy("entity").agg(F.count("*").alias("n"))
+    met = each.select("entity", "hash", F.explode("terms").alias("term")).distinct()
+    near = saved(met.groupBy("entity", "term").agg(F.count("*").alias("c")).join(sizes, "entity"), "near")
+    kind = F.substring_index("entity", ":", 1)
+    kinds = each.select(kind.alias("kind"), "hash").distinct().groupBy("kind").agg(F.count("*").alias("n"))
+    near_kind = met.select(kind.alias("kind"), "hash", "term").distinct().groupBy("kind", "term").agg(F.count("*").alias("c")).join(F.broadcast(kinds), "kind")
+    df = saved(_frequencies(near.select("term").distinct(), found, docs, text_col), "frequencies")
+    by_kind = near_kind.join(df, "term").where(_open(min_contexts) <= open_bits).groupBy("term").agg(F.collect_set("kind").alias("kinds"))
+    every = near.join(df.join(by_kind, "term", "left"), "term")
+    by_kind_too = F.coalesce(F.array_contains("kinds", kind), F.lit(False))
+    return saved(every.where((_open(min_contexts) <= open_bits) | by_kind_too).select("entity", "term"), "disclosing")
 
 
 def _spark_hash(word: str) -> int:

@@ -304,6 +304,16 @@ def test_copies_disclose_nothing_less(spark):
     assert all(r.spans == spans[r.doc_id if r.doc_id < 1000 else 0 if r.doc_id < 2000 else 12] for r in got)
 
 
+def test_terms_of_rare_entities(spark):
+    rows = [(0, "here Xanthippe lives, at xa@y.org or so here")]  # one text
+    rows += [(1 + i, f"here Ulrika can be met number {i} by u{i}@y.org today") for i in range(12)]  # a name beside addresses met once
+    rows += [(20 + i, f"here and today can lives met number {i} or so by the way") for i in range(60)]
+    clean = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[0] == "here [NAME] lives, at [EMAIL] or so here"
+    assert all(clean[1 + i] == f"here [NAME] can be met number {i} by [EMAIL] today" for i in range(12))
+    assert all(clean[i] == t for i, t in rows[13:])
+
+
 def test_spark_hash(spark):
     words = ["", "a", "éclair", "word" * 20]
     got = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()
