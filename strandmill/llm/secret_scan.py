@@ -4,7 +4,10 @@ Base kinds, leftmost and without overlap within a kind: ``assign`` (a credential
 characters or more), ``access`` (access key ids) and ``hex`` (long hexadecimal runs).  The method adds the
 kind ``guess``: the value behind a credential's name, or behind the further names below, whose cheapest
 segmentation into words, dates, repeats, keyboard walks and brute-force spans still costs ``MIN_COST`` guesses
-(as a power of ten) or more.  Placeholders and weak passwords cost less and add no span.
+(as a power of ten) or more.  The value goes to the next white space, quote, bracket, comma or semicolon, past where
+``assign`` ends, and a scheme's word before it (``Bearer``, ``Basic``, ...) is passed over; where the whole costs less,
+the value of ``assign`` alone may still be a guess.  Behind ``bearer`` without a sign, values with a digit or of 20
+characters count.  Placeholders and weak passwords cost less and add no span.
 
 Null text counts as empty and has no spans; repeated rows give repeated results, an empty table none.  Whole
 texts are scanned, in time proportional to their length.
@@ -25,7 +28,10 @@ from strandmill.llm.common import id_text, rows, tune
 KINDS = ("assign", "access", "hex", "guess")
 #: Names that open a credential's context; (?a) keeps case folding to ASCII letters.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-CONTEXT = re.compile(r"""(?ai)(?:passwd|password|passphrase|passcode|pwd|secret|token|api[_-]?key|credential|private[_-]?key|access[_-]?key|authorization|bearer)s?["']?\x20*(?:[:=]|\bis\b|bearer)\x20*["']?([^\s"'<>,;]{6,})""")
+CONTEXT = re.compile(
+    r"""(?ai)(?:(?:passwd|password|passphrase|passcode|pwd|secret|token|api[_-]?key|credential|private[_-]?key|access[_-]?key|authorization|bearer)s?["']?\x20*(?:[:=]|\bis\b|bearer)\x20*["']?(?:(?:bearer|basic|digest|negotiate|token|apikey)\x20+["']?)?"""
+    r"""|\bbearer\x20+["']?(?=[^\s"'<>,;]{0,64}[0-9]|[^\s"'<>,;]{20}))(?!(?:bearer|basic|digest|negotiate|token|apikey)(?![^\s"'<>,;]))([^\s"'<>,;]{6,})"""
+)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: A text without any of these, in lower case, has no credential's context.
@@ -109,14 +115,22 @@ def find_secrets(text: str, min_cost: float = MIN_COST) -> list[tuple[int, int,
     low = text.lower()
     if any(h in low for h in HINTS):
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-        base = [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-        more, i = [], 0
-        for m in CONTEXT.finditer(text):  # a value that a base span covers is taken as that pattern has it
-            while i < len(base) and base[i][1] <= m.start(1):
+        base, alone = [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 6], []
+        i = 0
+        for m in CONTEXT.finditer(text):
+            inside = []
+            while i < len(base) and base[i][0] < m.end(1):
+                if base[i][1] > m.start(1):
+                    inside.append(base[i])
+                elif base[i][0] < m.start():  # else it is the scheme's word
+                    alone.append(base[i])
                 i += 1
-            if i == len(base) or base[i][0] >= m.end(1):
-                more.append(m.span(1))
-        out += [(a, 3, b) for a, b in base + more if guess_cost(text[a:b]) >= min_cost]
+            a, b = m.span(1)
+            if guess_cost(text[a:b]) >= min_cost:
+                out.append((a, 3, b))
+            else:  # a cheaper end can make the whole cheaper than the base span's value
+                alone += [x for x in inside if x != (a, b)]
+        out += [(a, 3, b) for a, b in alone + base[i:] if guess_cost(text[a:b]) >= min_cost]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]

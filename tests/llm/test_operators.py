@@ -141,6 +141,18 @@ def test_guess_cost():
     assert kinds == [0, 0, 3, 3]
 
 
+def test_whole_values_are_costed():
+    def guesses(t):
+        return [t[a:b] for a, k, b in secret_scan.find_secrets(t) if k == 3]
+
+    assert guesses("password=hunter2!Zq9$kPm4#x end") == ["hunter2!Zq9$kPm4#x"]
+    assert guesses("Authorization: Bearer x9Kq27zPwLmQ4 end") == ["x9Kq27zPwLmQ4"]
+    assert guesses("\"authorization\": \"Basic dXNlcjpwYXNz9Kq\"") == ["dXNlcjpwYXNz9Kq"]
+    assert guesses("curl -H 'Bearer x9Kq27zPwLmQ4'") == ["x9Kq27zPwLmQ4"]
+    assert guesses("the bearer presented it, a bearer wonderfully kept, token: Bearer x9Kq27zPwLmQ4") == ["x9Kq27zPwLmQ4"]
+    assert guesses("password=hunter2 token=changeme! Authorization: Bearer abc") == []
+
+
 def test_quality(spark, odd, docs, empty):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = {r.doc_id: r for r in quality.quality(docs, labels).collect()}
