@@ -83,6 +83,19 @@ def t_tail(t, df) -> np.ndarray:
     return np.where(np.isnan(t) | (df <= 0), 1.0, np.where(t > 0, half, 1 - half))
 
 
+def poisson_draw(mu, u) -> np.ndarray:
+    """The least k with P(X <= k) of ``u`` or more; sums start 20 standard deviations below the mean."""
+    mu, u = np.asarray(mu, float), np.asarray(u, float)
+    k = np.maximum(0, np.floor(mu - 20 * np.sqrt(mu)))
+    p = np.exp(np.where(mu > 0, k * np.log(np.where(mu > 0, mu, 1)), 0) - mu - _lgamma(k + 1).astype(float))
+    total, last = p.copy(), mu + 40 * np.sqrt(mu) + 40
+    while (on := (total < u) & (k < last)).any():
+        k = k + on
+        p = np.where(on, p * mu / np.maximum(k, 1), p)
+        total = np.where(on, total + p, total)
+    return k
+
+
 def hypergeometric_at_least(k: int, good: int, bad: int, draws: int) -> float:
     """P(X >= k)."""
     total, log_all = 0.0, math.lgamma(good + bad + 1) - math.lgamma(draws + 1) - math.lgamma(good + bad - draws + 1)
@@ -101,6 +114,11 @@ def poisson_q(k: pd.Series, mu: pd.Series) -> pd.Series:
     return pd.Series(poisson_tail(k, mu))
 
 
+@pandas_udf(DoubleType())
+def poisson_sample(mu: pd.Series, u: pd.Series) -> pd.Series:
+    return pd.Series(poisson_draw(mu, u))
+
+
 @pandas_udf(DoubleType())
 def normal_q(z: pd.Series) -> pd.Series:
     return pd.Series(normal_tail(z))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandmill.functions.regions import each
-from strandmill.functions.tails import binomial_q
+from strandmill.functions.tails import binomial_q, poisson_sample
 from strandmill.operators import overlaps, scans
 
 
@@ -85,19 +85,24 @@ def quantile_normalised(rows: DataFrame, columns: list[str], ids: list[str]) ->
     return out
 
 
-def peakdiff(scan: DataFrame, a: str, b: str, *, size=500, pseudo=1.0, fdr=0.05, fold=2.0) -> DataFrame:
+def peakdiff(scan: DataFrame, a: str, b: str, *, size=500, pseudo=1.0, fdr=0.05, fold=2.0, seed=0) -> DataFrame:
     """score (log2 fold change of b over a after normalisation), outlier, and gain / loss up to a cutoff by the replicates' spread.
 
-    A sample with one replicate stands for both.  A window is an outlier where its replicates differ by more
+    The second replicate of a sample with one is drawn from Poisson distributions with the counts of the first as
+    means, by a hash of window and seed.  A window is an outlier where its replicates differ by more
     than three standard deviations of the differences at its level (tiles of the log mean).  Gains and losses
     are scores beyond the least threshold at which replicate-against-replicate scores, as a null, are fewer
     than ``fdr`` of the scores.
     """
     ids = ["chrom", "strand", "k"]
-    cols = [c for s in (a, b) for c in (f"{s}_1", f"{s}_2") if c in scan.columns]
+    for i, s in enumerate((a, b)):
+        if f"{s}_2" not in scan.columns:
+            u = F.expr(f"(pmod(xxhash64(chrom, strand, k, {2 * seed + i}), 1000003) + 0.5) / 1000003").cast("double")
+            scan = scan.withColumn(f"{s}_2", F.least(poisson_sample(F.col(f"{s}_1").cast("double"), u), F.lit(float(size))))
+    cols = [f"{s}_{i}" for s in (a, b) for i in (1, 2)]
     scaled = scan.select(*ids, *[((F.col(c) + pseudo) / (size + pseudo)).alias(c) for c in cols])
     v = quantile_normalised(scaled, cols, ids)
-    one = {s: (f"{s}_1", f"{s}_2" if f"{s}_2" in cols else f"{s}_1") for s in (a, b)}
+    one = {s: (f"{s}_1", f"{s}_2") for s in (a, b)}
     mean = {s: (F.col(x) + F.col(y)) / 2 for s, (x, y) in one.items()}
     v = v.withColumns({"score": F.log2(mean[b] / mean[a]), "null": F.log2(F.col(one[b][0]) / F.col(one[b][1])), "own": F.log2(F.col(one[a][0]) / F.col(one[a][1])), "tile": F.floor(F.log2((mean[a] + mean[b]) / 2))})
     spread = v.groupBy("tile").agg(F.stddev_pop("own").alias("sa"), F.stddev_pop("null").alias("sb"))

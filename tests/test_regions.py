@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandmill.functions.regions import INTERVAL
-from strandmill.functions.tails import binomial_tail, poisson_tail, t_tail
-from strandmill.operators import enrichment, hic, matrix, overlaps, regions, scans, sets, vectors
+from strandmill.functions.tails import binomial_tail, poisson_draw, poisson_tail, t_tail
+from strandmill.operators import enrichment, hic, matrix, overlaps, profiles, regions, scans, sets, vectors
 from strandmill.operators.interval_join import interval_join
 
 
@@ -110,6 +110,22 @@ def test_tails():
     assert abs(poisson_tail([10], [5.0])[0] - 0.013695269) < 1e-8 and abs(t_tail([2.0], [10])[0] - 0.036694017) < 1e-8
 
 
+def test_poisson_draws():
+    u = [(i + 0.5) / 20_000 for i in range(20_000)]
+    for mu in (0.0, 0.3, 7.0, 480.0, 3000.0):
+        x = poisson_draw([mu] * len(u), u)
+        assert abs(x.mean() - mu) < 0.01 * mu + 1e-9 and abs(x.var() - mu) < 0.02 * mu + 1e-9
+    assert poisson_draw([2.0] * 3, [0.1353, 0.1354, 0.999999]).tolist() == [0.0, 1.0, 12.0]
+
+
+def test_single_replicates_can_be_refused(spark):
+    """Counts as small as 2 against 7 are noise."""
+    ids = "chrom string, strand string, k long, a_1 double, b_1 double"
+    noise = [("chr1", "+", i, float(2 + i * 7 % 9), float(2 + i * 7 % 9 + (5 if i % 50 == 0 else 0))) for i in range(400)]
+    got = profiles.peakdiff(spark.createDataFrame(noise, ids), "a", "b").collect()
+    assert len(got) == 400 and not any(r.gain or r.loss for r in got)
+
+
 def test_vectors_and_matrices(spark):
     v = spark.createDataFrame([(0, "a", [3.0, 1.0, float("nan")]), (1, "a", [2.0, 2.0, 4.0]), (2, "b", [0.0, 5.0, 1.0])], "row_id long, label string, v array<double>")
     assert [r.value for r in vectors.m(v).orderBy("row_id").collect()] == [2.0, 8 / 3, 2.0]
