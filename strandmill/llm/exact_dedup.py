@@ -11,7 +11,7 @@ bytes themselves are the grouping key, so equal hashes of different texts never
 map-side aggregates first, so that a group with a third of all rows sends one row per map task.
 
 Null text counts as empty, and empty texts equal each other.  Of equal texts the one with the most code
-points in its original form stays, then the smallest id.  A repeated id gives a row for each of its rows; the
+points in its original form stays, then the smallest id, a null id last.  A repeated or null id gives a row for each of its rows; the
 rows of that id count as kept where text and id are those of the row that stays.  An empty table gives none.
 """
 
@@ -66,9 +66,14 @@ def _big() -> Column:
     return F.lit(Decimal(10**20))
 
 
+def _no_id() -> Column:
+    """Behind all ids: above 2**63, below half of _big()."""
+    return F.lit(Decimal(10**19))
+
+
 def _order(n_cp: Column, doc_id: Column) -> Column:
-    """Larger for more code points, then for smaller ids; a decimal, so that hash aggregates can hold it."""
-    return (n_cp.cast("decimal(17,0)") * _big() - doc_id.cast("decimal(20,0)")).cast("decimal(38,0)")
+    """Larger for more code points, then for smaller ids, null last; a decimal, so that hash aggregates can hold it."""
+    return (n_cp.cast("decimal(17,0)") * _big() - F.coalesce(doc_id.cast("decimal(20,0)"), _no_id())).cast("decimal(38,0)")
 
 
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, hash_bits: int = 64) -> tuple[DataFrame, DataFrame, Directory]:
@@ -108,11 +113,12 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def probe(keys: DataFrame, index: DataFrame) -> DataFrame:
     """Look rows up in an index: by hash, then along the chain for the digest of the bytes."""
-    # best = n_cp * 10**20 - id with |id| < 10**19, so n_cp is the nearest multiple.
+    # best = n_cp * 10**20 - id with |id| <= 10**19, so n_cp is the nearest multiple.
     n = F.round(F.col("best") / _big()).cast("decimal(17,0)")
+    keep = n * _big() - F.col("best")
     return keys.join(index, ["hash", "sha"]).select(
         "doc_id",
-        (n * _big() - F.col("best")).cast("long").alias("keep_id"),
+        F.when(keep < _no_id(), keep).cast("long").alias("keep_id"),
         "group_size",
         (_order(F.col("n_cp"), F.col("doc_id")) == F.col("best")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
@@ -124,10 +130,10 @@ def probe(keys: DataFrame, index: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; where that very row is repeated, once."""
     stay = exact_dedup(docs, id_col=id_col, text_col=text_col).where("kept")
-    stay = stay.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    stay = stay.select(F.col("doc_id").alias("__stay"), F.col("text_sha256").alias("__text")).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__sha": F.sha2(squeezed(text), 256)})
     same = W.partitionBy("__id", "__sha").orderBy(F.length(text).desc(), F.xxhash64(text_col))
     # One row of each id and text before the join, so that nothing but ids is compared in it.
     rows = rows.withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
-    return rows.join(stay, ["__id", "__sha"], "left_semi").select(*docs.columns)
+    return rows.join(stay, F.col("__id").eqNullSafe(F.col("__stay")) & (F.col("__sha") == F.col("__text")), "left_semi").select(*docs.columns)

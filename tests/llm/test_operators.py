@@ -5,7 +5,7 @@ import random
 import re
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -58,6 +58,16 @@ def test_exact_dedup(odd, docs, empty):
     assert stay.columns == odd.columns and sorted(squeeze(r.text) for r in stay.collect()) == sorted({squeeze(t) for i, t, _ in ODD if i is not None})
 
 
+def test_exact_dedup_without_ids(spark):
+    rows = [(None, "only here"), (None, "only  here"), (None, "only here"), (7, "both"), (None, "both"), (8, "more"), (None, "m o r e"), (None, None), (2**63 - 1, "last"), (None, "last")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(frame).collect())
+    want = [(None, None, 3, True), (None, None, 3, False), (None, None, 3, False), (7, 7, 2, True), (None, 7, 2, False), (8, None, 2, False), (None, None, 2, True), (None, None, 1, True)]
+    assert got == Counter([*want, (2**63 - 1, 2**63 - 1, 2, True), (None, 2**63 - 1, 2, False)])
+    stay = exact_dedup.deduplicated(frame).collect()
+    assert Counter(tuple(r) for r in stay) == Counter([(None, "only  here"), (7, "both"), (None, "m o r e"), (None, None), (2**63 - 1, "last")])
+
+
 def test_directory():
     d = exact_dedup.grow_directory({0: 5, 1: 5, 2: 1, 7: 9}, 3, 6)
     assert d.depth == 3 and d.slots == (0, 1, 2, 2, 3, 3, 3, 4) or len(set(d.slots)) == len(d.bucket_depths)
