@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from strandmill.llm.bpe import VOCABULARY, read_ranks
 from strandmill.llm.common import rows, tune
-from strandmill.llm.pretokens import Words, chunks, pattern, pre_tokens
+from strandmill.llm.pretokens import LONG, Words, chunks, pattern, pre_tokens
 
 #: The pattern looks at most two characters past the end of a pre-token ('ll against a lone mark, or the
 #: character after white space), so those that end this far before an edit stay as they are.
 CONTEXT = 3
 EDIT = "struct<start:long,stop:long,text:string>"
+#: Pre-tokens whose counts a worker keeps.
+SINGLES = 300_000
 
 
 class Node:
@@ -102,21 +104,24 @@ class Counter:
     def __init__(self, path: str):
         encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
         self.one, self.find = encoding.encode_ordinary, pattern().finditer
-        #: chunk -> lengths and token counts of its pre-tokens
         self.known = Words(lambda words: [self._scan(w) for w in words])
+        #: token counts of short pre-tokens, at most SINGLES of them
         self.single: dict[str, int] = {}
 
     def _count(self, pre_token: str) -> int:
         n = self.single.get(pre_token)
         if n is None:
-            if len(self.single) > 300_000:
-                self.single.clear()
-            n = self.single[pre_token] = len(self.one(pre_token))
+            n = len(self.one(pre_token))
+            if len(pre_token) <= LONG:
+                if len(self.single) >= SINGLES:
+                    self.single.clear()
+                self.single[pre_token] = n
         return n
 
-    def _scan(self, chunk: str) -> tuple[bytes, bytes]:
+    def _scan(self, chunk: str) -> bytes:
+        """Lengths, then token counts, of the chunk's pre-tokens."""
         words = pre_tokens(chunk)
-        return np.fromiter(map(len, words), np.int32, len(words)).tobytes(), np.fromiter(map(self._count, words), np.int32, len(words)).tobytes()
+        return np.array([*map(len, words), *map(self._count, words)], np.int32).tobytes()
 
     def trees(self, texts: list[str]) -> list[Node]:
         parts = list(map(chunks, texts))
@@ -124,7 +129,7 @@ class Counter:
         out = []
         for p in parts:
             got = [self.known[c] for c in p]
-            out.append(build(*(np.frombuffer(b"".join([g[i] for g in got]), np.int32) for i in (0, 1))))
+            out.append(build(*(np.frombuffer(b"".join([g[len(g) // 2 :] if i else g[: len(g) // 2] for g in got]), np.int32) for i in (0, 1))))
         return out
 
     def edited(self, text: str, tree: Node, start: int, stop: int, new: str) -> tuple[str, Node, int]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strandmill.llm import bpe, chat_format, exact_dedup, graph, ngram_join, packing, pii, quality, secret_scan, token_counts, topk
+from strandmill.llm.pretokens import LONG, Words
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -178,7 +179,7 @@ def test_quality(spark, odd, docs, empty):
 
 def test_packing(odd, docs, empty):
     t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    t.encode_special_tokens = True
+    odd = odd.union(odd.where("doc_id = 7").withColumns({"doc_id": F.lit(70), "text": F.lit("A <|endoftext|> b<|startoftext|>c <|ENDOFTEXT|> don't<|endoftext|>'s")}))
     for frame, size in ((odd.where("doc_id is not null and doc_id not in (4, 8)"), 64), (docs, 2048)):
         texts = {r.doc_id: r.text or "" for r in frame.select("doc_id", "text").collect()}
         ids = {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in texts.items()}
@@ -197,9 +198,55 @@ def test_packing(odd, docs, empty):
     assert packing.pack(odd).agg(F.sum("length")).first()[0] > 0 and packing.pack(empty).count() == 0
 
 
+def test_packed_ids_are_the_tokenizers():
+    t, own = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY)), packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
+    r = random.Random(6)
+    parts = ["Don't", "'s", "'", "'l", "'ll", "'re", "r", "E", "We've", "d", "é", "É", "ß", "ñ", "ĸ", "ŉ", "İ", "ſ", "²", "½", "1", "42", " ", "  ", "\n", "\x1c", "\x00", "\x85", "\xa0", "\u2003", "­", "e\u0301", "\u0301"]
+    parts += ["日本", "Ж", "!", "!!", "''", "<|", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "|>", "-", "×", "ª", "word", "𝔘"]
+    for k in range(300):
+        latin = [p for p in parts if not packing._OTHER.search(p)]
+        texts = ["".join(r.choice(latin if k % 2 else parts) for _ in range(r.randrange(14))) for _ in range(30)]
+        want = [[*e.ids, 1] for e in t.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in own.encode(texts, 1)] == want
+
+
+def test_kept_words_are_bounded():
+    words = Words(lambda ws: [w.encode() for w in ws], most=50_000)
+    for i in range(200):
+        words.of([[f"w{i}-{j}" for j in range(10)] + [f"long{i}" * 500]])
+        assert all(words[w] for w in (f"w{i}-0", f"long{i}" * 500)) and words.bytes < 70_000
+    assert sum(len(w) > LONG for w in words) == 1 and len(words) < 400
+    # Texts with blank lines are cut at them, so none is kept whole.
+    codec = bpe.codec(public_tokenizers.path(bpe.VOCABULARY))
+    codec.packed.clear()
+    codec.encode_packed([f"first {i} line\n\nsecond line" * 20 for i in range(500)])
+    assert max(map(len, codec.packed)) < 20 and len(codec.packed) < 600
+
+
+def test_packing_follows_the_curve(spark):
+    r = random.Random(3)
+    rows = [(i if i % 9 else None, " ".join(r.choice("red green blue one two three".split()) for _ in range(r.randrange(30)))) for i in range(300)]
+    rows += [(500, "same text again")] * 5 + [(7, "another")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    coder = packing.encoder(public_tokenizers.path(packing.VOCABULARY))
+    ids = coder.encode([t for _, t in rows], 1)
+    keys = packing.curve_keys(ids, 1 << 16)
+    of = defaultdict(set)
+    for (i, _), k, x in zip(rows, keys, ids, strict=True):
+        of[i, len(x), zlib.crc32(x.tobytes())].add(int(k))
+    got = sorted((p for p in packing.pack(frame, size=1 << 20).collect()), key=lambda p: (p.sequence_id, p.offset))
+    whole = [p for p in got if p.length == p.doc_tokens]
+    assert sum(p.length for p in got) == sum(map(len, ids)) and Counter((p.doc_id, p.doc_tokens) for p in got if p.start == 0) == Counter((i, len(x)) for (i, _), x in zip(rows, ids, strict=True))
+    order = [min(of[p.doc_id, p.length, p.ids_crc32]) for p in whole]
+    assert len(whole) > 280 and order == sorted(order)
+
+
 def test_hilbert_curve():
-    cells = {packing.hilbert_key((a, b, c), 2): (a, b, c) for a in range(4) for b in range(4) for c in range(4)}
-    assert sorted(cells) == list(range(64)) and all(sum(abs(x - y) for x, y in zip(cells[i], cells[i + 1], strict=True)) == 1 for i in range(63))
+    for d, bits in ((3, 2), (2, 3), (3, 3)):
+        cells = np.indices((1 << bits,) * d).reshape(d, -1).T
+        keys = packing.hilbert_keys(cells, bits)
+        along = cells[np.argsort(keys)]
+        assert sorted(keys) == list(range(1 << bits * d)) and (np.abs(np.diff(along, axis=0)).sum(axis=1) == 1).all()
 
 
 def test_top_k(spark):

@@ -75,7 +75,6 @@ def test_private_stage(stages):
 
 def check_pack(texts, rows):
     t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    t.encode_special_tokens = True
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in texts.items()}
     used, seqs = defaultdict(list), defaultdict(list)
     for r in rows:
