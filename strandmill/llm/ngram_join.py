@@ -2,7 +2,7 @@
 
 A document's set holds the distinct n-word shingles of its text, lower-cased from A to Z and cut at
 ``[\\x20\\x09-\\x0D]``; with fewer words, its whole sequence is the one shingle; without words it is empty and
-links with nothing.  Shingles are 64-bit hashes.  Two documents link when
+links with nothing.  Two documents link when
 100 * intersection >= percent * union.
 
 Documents of one set are one class, represented once.  Over all sets there is one order of shingles, the rarer
@@ -15,10 +15,14 @@ those come first that a filter of fixed size tells to be in one class only, then
 those whose frequency, counted over all classes, is in a table of at most ``TABLE`` entries (the most frequent
 ones), by frequency.  Filter and table only bear on cost: any order is right.
 
-Lists of a prefix shingle with at most ``LIST`` classes give pairs, which are counted and verified.  Longer lists
-are cut into blocks of bounded size, whose pairs of blocks are compared whole by matrix products in one task
-each; there pairs that share an earlier such shingle are passed over, and only links that join what isn't
-joined yet leave the task.  So no list is capped and none gives all its pairs as rows.
+Lists of a prefix shingle with at most ``LIST`` classes give pairs, which are counted and verified.  Of longer lists,
+where near-copies meet in thousands, each class is verified against one of them first.  Lists whose classes all are
+connected by then are done.  What remains is cut into blocks of bounded size, whose pairs of blocks are compared whole
+by matrix products in one task each, but for pairs that are connected or share an earlier such shingle; only links
+that join what isn't joined yet leave the task.  So no list is capped and none gives all its pairs as rows.
+
+Words are hashed by BLAKE2b and shingles have 128 bits, of which 64 find candidates; verification reads the texts
+again and compares all 128.
 
 Null text counts as empty; a repeated id gives a row for each of its rows, each with the links of its own
 text; a row without an id makes no links, but has the component of its text; an empty table gives no rows.
@@ -39,6 +43,8 @@ from strandmill.llm.common import id_text, removed, rows, saved, shared_dir, tun
 from strandmill.llm.graph import components
 
 ZONE, TABLE, LIST, MATCHES = 0.25, 1 << 20, 48, 4
+#: Classes of a long list that meet its centre in one key.
+SHARE = 256
 #: Classes and shingles in a block of a long list; estimated cost of verifying a pair, in posting entries.
 BLOCK, BLOCK_SHINGLES, VERIFY = 2048, 1 << 20, 8.0
 #: Bits of the filter through which the second reading of the texts goes; its size doesn't grow.
@@ -47,10 +53,10 @@ FILTER_BITS = 1 << 23
 SHARED_BITS = 1 << 27
 
 _U = np.uint64
-_BASE, _STEP = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
-_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Odd factors by which either half of a shingle's hash takes in the next word's.
+_STEPS = np.array([0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15], np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,47 +65,55 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+def _word_hashes(data: np.ndarray, space: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """128 bits (two columns) of each word, from BLAKE2b; every distinct word of the batch is hashed once."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data[~space])]).dictionary_encode()
+    names = words.dictionary.to_numpy(zero_copy_only=False)
+    digests = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in names])
+    return np.frombuffer(digests, "<u8").reshape(-1, 2)[words.indices.to_numpy()]
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_powers[name]) < n:
-        p = np.full(1 << n.bit_length(), base, np.uint64)
-        p[0] = 1
-        _powers[name] = np.multiply.accumulate(p)
-    return _powers[name][:n]
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted by the first column, then the second; each row once."""
+    h = h[np.argsort(h[:, 0], kind="stable")]
+    same = h[1:, 0] == h[:-1, 0]
+    if (same & (h[1:, 1] != h[:-1, 1])).any():
+        h = h[np.lexsort((h[:, 1], h[:, 0]))]
+        same = (h[1:] == h[:-1]).all(axis=1)
+    return h[np.concatenate([[True], ~same])] if len(h) else h
 
 
 def shingle_sets(texts: list[str], n: int = 4) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; all words are hashed at once, as differences of prefix sums."""
+    """The distinct shingles of each text as 128-bit hashes: rows of two numbers, in order."""
     raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]  # bytes.lower() is A to Z alone
     data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
-    if not len(data):
-        return [np.zeros(0, np.uint64) for _ in texts]
     space = _SPACE[data]
     edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
     start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _power("up", _BASE, len(data)), dtype=np.uint64)])
-    word = _mix((sums[stop] - sums[start]) * _power("down", _INVERSE, len(data))[start] + (stop - start).astype(np.uint64))
+    word = _word_hashes(data, space, stop - start)
     first = np.searchsorted(start, np.cumsum([0, *(len(r) + 1 for r in raw)]))
     joined = word[: max(0, len(word) - n + 1)].copy()
     for k in range(1, n):
-        joined = _mix(joined * _STEP + word[k : k + len(joined)])
+        joined = _mix(joined * _STEPS + word[k : k + len(joined)])
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= n:
-            out.append(np.unique(joined[a : b - n + 1]))
+            out.append(_distinct(joined[a : b - n + 1]))
         elif b > a:
             h = word[a : a + 1]
             for k in range(a + 1, b):
-                h = _mix(h * _STEP + word[k : k + 1])
+                h = _mix(h * _STEPS + word[k : k + 1])
             out.append(_mix(h + _U(b - a)))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(np.zeros((0, 2), np.uint64))
     return out
 
 
+def _signature(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _short(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of about a million characters, for the arrays that shingling needs."""
     for b in rows(batches):
@@ -141,7 +155,8 @@ def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _short(batches, 1):
             sets = shingle_sets(b.column(1).to_pylist(), n)
-            sig = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            sig = list(map(_signature, sets))
+            sets = [np.ascontiguousarray(s[:, 0]) for s in sets]  # half a hash finds candidates; verification has all of it
             keep = [max(int(np.searchsorted(s, limit)), min(len(s), len(s) - needed_overlap(len(s), percent) + MATCHES)) for s in sets]
             yield pa.record_batch([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(sig, pa.binary()), pa.array([s[:k].tobytes() for s, k in zip(sets, keep, strict=True)], pa.binary())], ["doc_id", "n", "sig", "zone"])
 
@@ -226,36 +241,47 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
     return classes.select("sig", "n", "zone").mapInArrow(run, "token long, sig binary, n long, l int")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(sig, s) for ``wanted`` (sig, rep): texts are read again, those that a filter of fixed size lets through."""
+def _texts_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(sig, text) for ``wanted`` (sig, rep): texts are read again, those that a filter of fixed size lets through."""
     bits = _bits(wanted.select(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).alias("bit")), FILTER_BITS)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
         for b in rows(batches):
-            at = b.column(2).to_numpy()
-            through = _test(have, at)
-            for c in _short([b.filter(pa.array(through))], 1):
-                sets = shingle_sets(c.column(1).to_pylist(), n)
-                yield pa.record_batch([c.column(0), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "sig", "s"])
+            through = _test(have, b.column(1).to_numpy())
+            for c in _short([b.filter(pa.array(through))], 0):
+                texts = c.column(0)
+                yield pa.record_batch([pa.array(map(_signature, shingle_sets(texts.to_pylist(), n)), pa.binary()), texts], ["sig", "text"])
 
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    sets = docs.select("doc_id", "text", place.alias("place")).mapInArrow(run, "rep long, sig binary, s binary")
+    texts = docs.select("text", place.alias("place")).mapInArrow(run, "sig binary, text string")
     # Equal sig, equal set: whichever document let through has it; the aggregation keeps the join's partitions.
-    return sets.select("sig", "s").join(wanted.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("s").alias("s"))
+    return texts.join(wanted.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("text").alias("text"))
+
 
+def _codes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all shingles of all sets, one after another: a number, equal for equal shingles; its owner; and in how many sets each number is."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.lexsort((flat[:, 1], flat[:, 0]))
+    new = np.concatenate([[True], (flat[order[1:]] != flat[order[:-1]]).any(axis=1)])[: len(flat)]
+    code = np.empty(len(flat), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return code, owner, np.bincount(code)
 
-def links_within(ids: list, sets: list[np.ndarray], hot: list[np.ndarray], token: int, side: np.ndarray, percent: int) -> list[tuple]:
+
+def links_within(ids: list, sets: list[np.ndarray], parts: np.ndarray, hot: list[np.ndarray], token: int, side: np.ndarray, percent: int) -> list[tuple]:
     """Links between the documents of two blocks (side 0 and 1; one block: all 0), as a forest.
 
-    Passed over: pairs whose sizes can't reach the threshold, and pairs that share a hot shingle below ``token``.
+    Passed over: pairs of one part, which are connected already, pairs whose sizes can't reach the threshold, and pairs
+    that share a hot shingle below ``token``.
     """
     n = np.array([len(s) for s in sets], float)
     rows_ = np.flatnonzero(side == 0)
     cols = np.flatnonzero(side == 1) if (side == 1).any() else rows_
     same = cols is rows_
     todo = 100 * np.minimum.outer(n[rows_], n[cols]) >= percent * np.maximum.outer(n[rows_], n[cols])
+    todo &= parts[rows_][:, None] != parts[cols][None, :]
     if same:
         todo &= np.triu(np.ones_like(todo), 1)
     below = [h[h < token] for h in hot]
@@ -270,8 +296,7 @@ def links_within(ids: list, sets: list[np.ndarray], hot: list[np.ndarray], token
     if not todo.any():
         return []
     use = np.union1d(rows_, cols)
-    flat, owner = np.concatenate([sets[i] for i in use]), np.repeat(np.arange(len(use)), [len(sets[i]) for i in use])
-    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    code, owner, count = _codes([sets[i] for i in use])
     often = count > 1
     new = np.cumsum(often) - 1
     keep = often[code]
@@ -318,37 +343,56 @@ def _links(docs: DataFrame, reps: DataFrame, posts: DataFrame, n: int, percent:
 
     many = posts.where(F.col("c") > LIST)
     wanted = pairs.select(F.col("sig_a").alias("sig")).union(pairs.select("sig_b")).union(many.select("sig")).distinct()
-    sets = saved(_sets_of(docs, wanted.join(reps, "sig"), n), "texts")
+    texts = saved(_texts_of(docs, wanted.join(reps, "sig"), n), "texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows(batches):
+        for b in rows(batches, 64):
+            both = [c.to_pylist() for c in b.columns[2:]]
+            names = list(dict.fromkeys(both[0] + both[1]))
+            sets = dict(zip(names, [s for c in _short([pa.record_batch([pa.array(names, pa.string())], ["t"])], 0) for s in shingle_sets(c.column(0).to_pylist(), n)], strict=True))
             ok = []
-            for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                k = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * k >= percent * (len(p) + len(q) - k))
+            for p, q in zip(*both, strict=True):
+                p, q = sets[p], sets[q]
+                shared = int((_codes([p, q])[2] > 1).sum())
+                ok.append(100 * shared >= percent * (len(p) + len(q) - shared))
             yield pa.record_batch(b.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    with_sets = pairs.join(sets.select(F.col("sig").alias("sig_a"), F.col("s").alias("s_a")), "sig_a")
-    with_sets = with_sets.join(sets.select(F.col("sig").alias("sig_b"), F.col("s").alias("s_b")), "sig_b")
-    found = with_sets.select("sig_a", "sig_b", "s_a", "s_b").mapInArrow(verify, "a binary, b binary")
-
+    named = lambda s: texts.select(F.col("sig").alias(f"sig_{s}"), F.col("text").alias(f"text_{s}"))
+    found = pairs.join(named("a"), "sig_a").join(named("b"), "sig_b")
+
+    # Each class of a long list against one of the list, which a hash chooses: where these are near-copies, all are connected then.
+    centre = many.groupBy("token").agg(F.min_by(F.struct("sig", "n"), F.xxhash64("sig", "token")).alias("p"), F.first("c").alias("c"))
+    shares = F.ceil(F.col("c") / SHARE).cast("int")  # no key of the join below has much more than SHARE rows
+    centre = centre.select("token", shares.alias("shares"), F.col("p.sig").alias("sig_b"), F.col("p.n").alias("n_b")).join(named("b"), "sig_b")
+    centre = centre.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    around = many.select("token", F.col("sig").alias("sig_a"), F.col("n").alias("n_a"), F.pmod(F.xxhash64("sig"), shares).cast("int").alias("share")).join(named("a"), "sig_a")
+    stars = around.join(centre, ["token", "share"]).where((F.col("sig_a") != F.col("sig_b")) & fits)
+    columns = ["sig_a", "sig_b", "text_a", "text_b"]
+    linked = components(found.select(*columns).union(stars.select(*columns)).mapInArrow(verify, "a binary, b binary"))
+    linked = saved(linked, "linked")
+
+    part = F.coalesce("root", "sig").alias("part")
+    many = saved(many.join(linked.select(F.col("node").alias("sig"), "root"), "sig", "left").select("token", "sig", "n", part), "long")
+    lists = many.groupBy("token").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.min("part").alias("least"), F.max("part").alias("most"))
+    lists = lists.where("least <> most").drop("least", "most")
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    cut = many.select("token", "sig", blocks.alias("blocks")).withColumn("mine", F.pmod(F.xxhash64("sig", "token"), F.col("blocks")).cast("int"))
+    cut = many.join(lists, "token").select("token", "sig", "part", blocks.alias("blocks"))
+    hot = cut.groupBy("sig").agg(F.collect_list("token").alias("hot"))  # of a prefix
+    cut = cut.withColumn("mine", F.pmod(F.xxhash64("sig", "token"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("token", "sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    hot = many.groupBy("sig").agg(F.collect_list("token").alias("hot"))
-    cut = cut.join(sets.join(hot, "sig"), "sig")
+    cut = cut.select("token", "sig", "part", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    cut = cut.join(texts.join(hot, "sig"), "sig")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if int(key[1]) != int(key[2]) and pdf["side"].nunique() < 2:
+        if int(key[1]) != int(key[2]) and pdf["side"].nunique() < 2 or pdf["part"].nunique() < 2:
             return pd.DataFrame({"a": [], "b": []})
-        sets_ = [np.frombuffer(s, np.uint64) for s in pdf["s"]]
-        out = links_within(list(pdf["sig"]), sets_, [np.array(h, np.int64) for h in pdf["hot"]], int(key[0]), pdf["side"].to_numpy(), percent)
+        sets = [s for c in _short([pa.record_batch([pa.array(pdf["text"], pa.string())], ["t"])], 0) for s in shingle_sets(c.column(0).to_pylist(), n)]
+        parts = pd.factorize(pdf["part"])[0]
+        out = links_within(list(pdf["sig"]), sets, parts, [np.array(h, np.int64) for h in pdf["hot"]], int(key[0]), pdf["side"].to_numpy(), percent)
         return pd.DataFrame(out, columns=["a", "b"])
 
     dense = cut.groupBy("token", "i", "j").applyInPandas(compare, "a binary, b binary")
-    return found.union(dense)
+    return linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(dense)
 
 
 def ngram_join(docs: DataFrame, *, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

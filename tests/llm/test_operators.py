@@ -311,6 +311,17 @@ def test_ngram_join(spark, docs, empty, monkeypatch, longest):
     assert repeated.count() == len(texts) + 5 and {tuple(x) for x in repeated.collect()} == want
 
 
+def test_words_that_collide_modulo_powers_of_two_stay_apart(spark):
+    """Letters at places whose binary ones are even in number, and the complement: equal under any polynomial modulo 2**64."""
+    x = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    rows = [(1, f"p q r {x}"), (2, f"p q r {x.translate({97: 'b', 98: 'a'})}"), (3, f"P q r {x}"), (None, f"p q  r {x}")]
+    long = " ".join(f"w{i}" for i in range(150_000))
+    rows += [(10, long), (11, long + " end"), (12, "other " + long[: len(long) // 2]), (13, "x" * 2_000_000), (13, "x" * 2_000_000)]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    of = Counter((r.doc_id, r.component_id) for r in got)
+    assert of == Counter([(1, 1), (2, 2), (3, 1), (None, 1), (10, 10), (11, 10), (12, 12), (13, 13), (13, 13)])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 101), (200, 200)]
     got = {tuple(r) for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
