@@ -69,13 +69,19 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 FROM d JOIN g USING (norm)
 """
 
-OP2_SQL = r"""
-WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '[\s<>|]+', '_', 'g') AS role, coalesce(text, '') AS text FROM conversations),
+def _names(role: str) -> str:
+    for c, shown in chat_format.NAMES.items():
+        role = f"replace({role}, chr({ord(c)}), '{shown}')"
+    return role
+
+
+OP2_SQL = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce({_names('role')}, '{chat_format.NOBODY}') AS role, replace(coalesce(text, ''), '<|', '<||') AS text FROM conversations),
      p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
      r AS (SELECT t.conv_id, p.perspective, t.turn, t.role, t.text, t.role = p.perspective AS mine,
                   CASE WHEN t.role = 'system' THEN '<|im_start|>system' || chr(10) WHEN t.role = p.perspective THEN '<|im_start|>assistant' || chr(10)
                        ELSE '<|im_start|>user name=' || t.role || chr(10) END AS head
-           FROM t JOIN p ON t.conv_id = p.conv_id),
+           FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
      o AS (SELECT *, coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, perspective ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM r),
      c AS (SELECT *, (pos // 1048576)::INTEGER AS part FROM o)
 SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text, min(pos) AS start,
