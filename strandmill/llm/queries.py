@@ -99,5 +99,25 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+     h AS (SELECT doc_id, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o AS g FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+     q AS (SELECT doc_id, g FROM h WHERE g IS NOT NULL UNION SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 3),
+     z AS (SELECT doc_id, list(g ORDER BY g) AS s FROM q GROUP BY doc_id),
+     s AS (SELECT doc_id, coalesce(z.s, []) AS s FROM documents LEFT JOIN z USING (doc_id)),
+     c AS MATERIALIZED (SELECT min(doc_id) AS rep, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+     g AS (SELECT rep, n, unnest(s) AS g FROM c),
+     u AS MATERIALIZED (SELECT g, row_number() OVER () AS id FROM g GROUP BY g HAVING count(*) > 1),
+     t AS MATERIALIZED (SELECT rep, n, id FROM g JOIN u USING (g)),
+     k AS (SELECT a.rep AS x, b.rep AS y, a.n AS na, b.n AS nb, count(*) AS k FROM t a JOIN t b ON a.id = b.id AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+     l AS MATERIALIZED (SELECT x, y FROM k WHERE 100 * k >= 85 * (na + nb - k)),
+     e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+     r AS (SELECT rep AS x, rep AS y FROM c UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+     m AS (SELECT x AS rep, min(y) AS component_id FROM r GROUP BY x)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN m ON c.rep = m.rep
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op7_topk": OP7_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op7_topk": OP7_SQL, "op8_ngram_join": OP8_SQL}
