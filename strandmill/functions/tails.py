@@ -16,12 +16,16 @@ _lgamma = np.frompyfunc(math.lgamma, 1, 1)
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Continued fraction of the incomplete beta function, by the modified Lentz method, for whole arrays."""
+    """Continued fraction of the incomplete beta function, by the modified Lentz method, for whole arrays.
+
+    Each element stops by itself, so its value doesn't depend on its batch.
+    """
     tiny = 1e-300
     c = np.ones_like(x)
     d = 1 - (a + b) * x / (a + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
+    live = np.ones(x.shape, bool)
     for m in range(1, 500):
         for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 + top * d
@@ -29,8 +33,9 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = 1 + top / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             step = d * c
-            h = h * step
-        if np.all(np.abs(step - 1) < 1e-14):
+            h = np.where(live, h * step, h)
+        live &= np.abs(step - 1) >= 1e-14
+        if not live.any():
             break
     return h
 

@@ -182,9 +182,11 @@ def extract(df, sequences, replace_n=False):
 
 def search(df, pattern):
     """Every place of a region's ``seq`` where an alternative of the bar-separated pattern stands (N: any), strand aware."""
-    alternatives = [p for p in pattern.split("|") if p]
-    hits = F.concat(*[F.expr(f"transform(filter(sequence(1, greatest(length(seq) - {len(p) - 1}, 0)), k -> k > 0 AND k <= length(seq) - {len(p) - 1} AND substring(seq, k, {len(p)}) RLIKE '^{p.replace('N', '.')}$'), k -> struct(cast(k as bigint) AS at, {len(p)}L AS len))") for p in alternatives])
-    out = df.where("size(iv) = 1").select("*", F.explode(F.array_distinct(hits)).alias("h"))
+    hits = []
+    for p in filter(None, pattern.split("|")):
+        fits = " AND ".join([f"chars[k + {i}] = '{c}'" for i, c in enumerate(p) if c != "N"] or ["true"])
+        hits.append(F.expr(f"transform(filter(sequence(0, greatest(length(seq) - {len(p)}, 0)), k -> k + {len(p)} <= length(seq) AND {fits}), k -> struct(k + 1L AS at, {len(p)}L AS len))"))
+    out = df.where("size(iv) = 1").withColumn("chars", F.split("seq", "")).select("*", F.explode(F.array_distinct(F.concat(*hits))).alias("h")).drop("chars")
     return _put(out, each("CASE WHEN x.strand = '-' THEN x.stop - h.at - h.len + 2 ELSE x.start + h.at - 1 END", "CASE WHEN x.strand = '-' THEN x.stop - h.at + 1 ELSE x.start + h.at + h.len - 2 END")).drop("h")
 
 
@@ -194,12 +196,17 @@ def length_without_n(df):
 
 
 def no_n(df):
-    """``seq`` needed, single intervals on '+': a region for each run without N."""
-    runs = "regexp_extract_all(seq, '[^Nn]+', 0)"
-    starts = "transform(filter(sequence(1, length(seq)), k -> substring(seq, k, 1) NOT IN ('N', 'n') AND (k = 1 OR substring(seq, k - 1, 1) IN ('N', 'n'))), k -> cast(k as bigint))"
-    out = df.where("length(seq) > 0").withColumns({"starts": F.expr(starts), "runs": F.expr(runs)})
-    out = out.select("*", F.posexplode(F.arrays_zip("starts", "runs")).alias("part", "h"))
-    return _put(out, each("x.start + h.starts - 1", "x.start + h.starts + length(h.runs) - 2")).withColumn("seq", F.col("h.runs")).drop("h", "starts", "runs")
+    """``seq`` needed: a region for each run without N in an interval, numbered by ``part`` along the sequence."""
+    size_, before = "(x.stop - x.start + 1)", "aggregate(slice(iv, 1, k), 0L, (s, y) -> s + y.stop - y.start + 1)"
+    pieces = df.where("length(seq) > 0").select("*", F.posexplode("iv").alias("k", "x"))
+    at = f"CASE WHEN x.strand = '-' THEN length(seq) - {before} - {size_} ELSE {before} END"
+    pieces = pieces.withColumn("at", F.expr(at)).withColumn("piece", F.expr(f"substring(seq, cast(at + 1 as int), cast({size_} as int))"))
+    starts = "transform(filter(sequence(1, length(piece)), p -> chars[p - 1] NOT IN ('N', 'n') AND (p = 1 OR chars[p - 2] IN ('N', 'n'))), p -> cast(p as bigint))"
+    out = pieces.withColumn("chars", F.split("piece", "")).withColumns({"starts": F.expr(starts), "runs": F.expr("regexp_extract_all(piece, '[^Nn]+', 0)")})
+    out = out.select("*", F.explode(F.arrays_zip("starts", "runs")).alias("h")).withColumn("n", F.expr("length(h.runs)"))
+    start = "CASE WHEN x.strand = '-' THEN x.stop - h.starts - n + 2 ELSE x.start + h.starts - 1 END"
+    out = out.withColumn("iv", F.expr(f"array(named_struct('chrom', x.chrom, 'strand', x.strand, 'start', {start}, 'stop', {start} + n - 1))"))
+    return out.withColumns({"seq": F.col("h.runs"), "part": F.expr("at + h.starts")}).drop("k", "x", "at", "piece", "h", "starts", "runs", "n", "chars")
 
 
 def verify(df):

@@ -70,17 +70,28 @@ _add("reg_reg_compact", lambda s, d: formats.as_reg(X.spliced(s, d), True), "SEL
 _add("reg_wig", lambda s, d: formats.as_wig(X.tests(s, d)), "SELECT_ chrom, start, start || ' ' || printf('%.6e', label::DOUBLE) AS value FROM tests UNION ALL SELECT chrom, min(start), 'variableStep chrom=' || chrom || ' span=1' FROM tests GROUP BY chrom")
 
 
-def _sequences(spark):
-    """A made-up genome in chunks: base i of chromosome c follows from a hash."""
-    base = "element_at(array('A', 'C', 'G', 'T', 'N'), cast(pmod(xxhash64(c, p), 33) % 5 as int) + 1)"
-    return spark.range(X.CHROMS * 27).selectExpr("id % 10 AS c", "id div 10 AS chunk_no").selectExpr("concat('chr', c) AS chrom", "chunk_no", f"array_join(transform(sequence(chunk_no * 4096, chunk_no * 4096 + 4095), p -> {base}), '') AS seq")
+def _sequences(spark, length=X.CHROMS * 27 * 4096 // X.CHROMS):
+    """A made-up genome in chunks: base p (from 1) of chromosome c is B[h % 33 % 5], h the upper bits of a product."""
+    base = "element_at(array('A', 'C', 'G', 'T', 'N'), cast(shiftright(((p - 1) * 2654435761 + c * 40503) % 4294967296, 12) % 33 % 5 as int) + 1)"
+    return spark.range(X.CHROMS * -(-length // 4096)).selectExpr(f"id % {X.CHROMS} AS c", f"id div {X.CHROMS} AS chunk_no").selectExpr("concat('chr', c) AS chrom", "chunk_no", f"array_join(transform(sequence(chunk_no * 4096 + 1, chunk_no * 4096 + 4096), p -> {base}), '') AS seq")
 
 
-_add("reg_x", lambda s, d: regions.extract(X.spliced(s, d), _sequences(s)).select("region_id", "seq"))
-_add("reg_search", lambda s, d: _one(regions.search(regions.extract(X.refs(s, d), _sequences(s)), "ACGN|TTNA")))
-_add("reg_non", lambda s, d: _one(regions.no_n(regions.extract(X.refs(s, d).where("iv[0].strand = '+'"), _sequences(s))), "seq"))
-_add("reg_len", lambda s, d: regions.length_without_n(regions.extract(X.spliced(s, d), _sequences(s))).select("region_id", "n"))
-_add("reg_verify", lambda s, d: regions.verify(regions.extract(X.refs(s, d), _sequences(s))).select("region_id", "forward", "backward"))
+def _dna(source: str) -> str:
+    """SQL: ``seqs``, the spliced sequence of each region, reverse-complemented on '-'."""
+    base = "substr('ACGTN', 1 + (((p - 1) * 2654435761 + right(chrom, 1)::BIGINT * 40503) % 4294967296 >> 12) % 33 % 5, 1)"
+    return (f"prt AS (SELECT *, array_to_string(list_transform(generate_series(start, stop), lambda p: {base}), '') AS part FROM (SELECT *, 0 AS k FROM {source})), " if source != "spl" else f"prt AS (SELECT *, array_to_string(list_transform(generate_series(start, stop), lambda p: {base}), '') AS part FROM spl), ") + (
+        "seqs AS (SELECT region_id, any_value(chrom) AS chrom, any_value(strand) AS strand, min(start) AS start, max(stop) AS stop, CASE WHEN any_value(strand) = '-' THEN reverse(translate(string_agg(part, '' ORDER BY k), 'ACGT', 'TGCA')) ELSE string_agg(part, '' ORDER BY k) END AS seq FROM prt GROUP BY region_id)")
+
+
+_add("reg_x", lambda s, d: regions.extract(X.spliced(s, d), _sequences(s)).select("region_id", "seq"), _dna("spl") + " SELECT_ region_id, seq FROM seqs")
+_PLACED = "chrom, strand, CASE WHEN strand = '-' THEN stop - i0 - len + 2 ELSE start + i0 - 1 END AS start, CASE WHEN strand = '-' THEN stop - i0 + 1 ELSE start + i0 + len - 2 END AS stop"
+_add("reg_search", lambda s, d: _one(regions.search(regions.extract(X.refs(s, d), _sequences(s)), "ACGN|TTNA")),
+     _dna("refs") + ", h AS (SELECT *, unnest(list_filter(range(1, 498), lambda i: regexp_full_match(substr(seq, i, 4), 'ACG.|TT.A'))) AS i0, 4 AS len FROM seqs) SELECT_ region_id, " + _PLACED + " FROM h")
+_add("reg_non", lambda s, d: regions.no_n(regions.extract(X.refs(s, d), _sequences(s))).selectExpr("region_id", "iv[0].chrom AS chrom", "iv[0].strand AS strand", "iv[0].start AS start", "iv[0].stop AS stop", "seq"),
+     _dna("refs") + ", h AS (SELECT *, unnest(list_filter(range(1, 501), lambda i: seq[i] <> 'N' AND (i = 1 OR seq[i - 1] = 'N'))) AS i0 FROM seqs), r AS (SELECT *, regexp_extract(substr(seq, i0), '^[^N]+') AS run FROM h), l AS (SELECT *, length(run) AS len FROM r) SELECT_ region_id, " + _PLACED + ", run AS seq FROM l")
+_add("reg_len", lambda s, d: regions.length_without_n(regions.extract(X.spliced(s, d), _sequences(s))).select("region_id", "n"), _dna("spl") + " SELECT_ region_id, length(replace(seq, 'N', ''))::INTEGER AS n FROM seqs")
+_add("reg_verify", lambda s, d: regions.verify(regions.extract(X.refs(s, d).selectExpr("region_id", "'ACGT' AS label", "transform(iv, x -> named_struct('chrom', x.chrom, 'strand', x.strand, 'start', x.start, 'stop', x.start + 3)) AS iv"), _sequences(s))).select("region_id", "forward", "backward"),
+     "four AS (SELECT region_id, chrom, strand, start, start + 3 AS stop FROM refs), " + _dna("four") + " SELECT_ region_id, seq = 'ACGT' AS forward, reverse(translate(seq, 'ACGT', 'TGCA')) = 'ACGT' AS backward FROM seqs")
 
 
 def _align(s, d):
@@ -94,22 +105,21 @@ _add("reg_align", _align)
 FLAT = "region_id, chrom, strand, start, stop"
 _add("set_gsort", lambda s, d: _one(sets.gsort(X.tests(s, d))), f"SELECT_ {FLAT} FROM tests")
 _RUNS = "u AS (SELECT *, CASE WHEN start - max(stop) OVER (PARTITION BY chrom, strand ORDER BY start, stop, region_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {d} THEN 0 ELSE 1 END AS new FROM {t}), w AS (SELECT *, sum(new) OVER (PARTITION BY chrom, strand ORDER BY start, stop, region_id) AS run FROM u) "
-#: The queries read all tests (ovl_subset and ovl_subset_inv all refs); their SQL still reads this ninth of the tests.
-_HALF = "t2 AS (SELECT * FROM tests WHERE region_id % 9 = 0), "
+_ALL = "t2 AS (SELECT * FROM tests), "
 
 _add("set_link", lambda s, d: _one(sets.link(X.tests(s, d), distance=3)), _RUNS.format(d=3, t="tests") + "SELECT_ min(region_id) AS region_id, chrom, strand, min(start) AS start, max(stop) AS stop FROM w GROUP BY chrom, strand, run")
 _add("set_link_sum", lambda s, d: _one(sets.link(X.tests(s, d), label="sum"), "label"), _RUNS.format(d=0, t="tests") + "SELECT_ min(region_id) AS region_id, sum(label::DOUBLE)::VARCHAR AS label, chrom, strand, min(start) AS start, max(stop) AS stop FROM w GROUP BY chrom, strand, run")
 _add("set_inv", lambda s, d: _one(sets.inv(X.tests(s, d), X.genome(s))).drop("region_id"),
-     _HALF + _RUNS.format(d=0, t="t2") + ", m AS (SELECT chrom, strand, min(start) AS s, max(stop) AS e FROM w GROUP BY chrom, strand, run), n AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY chrom, strand ORDER BY s), 0) AS p, lead(s) OVER (PARTITION BY chrom, strand ORDER BY s) IS NULL AS last FROM m), g AS (SELECT chrom, strand, p + 1 AS start, s - 1 AS stop FROM n UNION ALL SELECT chrom, strand, e + 1, 110000 FROM n WHERE last) SELECT_ * FROM g WHERE start <= stop")
+     _ALL + _RUNS.format(d=0, t="t2") + ", m AS (SELECT chrom, strand, min(start) AS s, max(stop) AS e FROM w GROUP BY chrom, strand, run), n AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY chrom, strand ORDER BY s), 0) AS p, lead(s) OVER (PARTITION BY chrom, strand ORDER BY s) IS NULL AS last FROM m), g AS (SELECT chrom, strand, p + 1 AS start, s - 1 AS stop FROM n UNION ALL SELECT chrom, strand, e + 1, 110000 FROM n WHERE last) SELECT_ * FROM g WHERE start <= stop")
 _add("set_gdist", lambda s, d: sets.gdist(X.tests(s, d), op1="2", op2="1"),
      "o AS (SELECT *, lag(region_id) OVER g AS prev_id, lag(chrom || strand) OVER g AS pk, lag(stop) OVER g AS ps FROM tests WINDOW g AS (ORDER BY chrom, strand, start, stop DESC, region_id)) SELECT_ prev_id, region_id, CASE WHEN pk = chrom || strand THEN (start - ps)::DOUBLE ELSE 'NaN'::DOUBLE END AS distance FROM o WHERE prev_id IS NOT NULL")
 _add("set_test", lambda s, d: sets.test(X.tests(s, d)),
      "o AS (SELECT *, lag(chrom) OVER g AS pc, lag(strand) OVER g AS pst, lag(start) OVER g AS p0, lag(stop) OVER g AS p1 FROM tests WINDOW g AS (ORDER BY region_id)) SELECT_ count(*) FILTER ((chrom, strand, start) < (pc, pst, p0)) AS unsorted, count(*) FILTER (chrom = pc AND strand = pst AND start >= p0 AND stop <= p1) AS inclusions, count(*) FILTER (chrom = pc AND strand = pst AND start <= p1 AND stop >= p0) AS overlaps FROM o WHERE pc IS NOT NULL")
 _add("set_annotator", lambda s, d: _one(sets.annotator(X.tests(s, d), 500, 60)),
-     _HALF + "f AS (SELECT region_id, chrom, strand, CASE WHEN strand = '+' THEN greatest(start - 500, 1) ELSE stop + 1 END AS start, CASE WHEN strand = '+' THEN start - 1 ELSE stop + 500 END AS stop FROM t2), v AS (SELECT * FROM f WHERE start <= stop), e AS (SELECT a.*, max(b.stop) FILTER (a.strand = '+' AND b.stop < a.stop) AS hi, min(b.start) FILTER (a.strand = '-' AND b.start > a.start) AS lo FROM v a LEFT JOIN v b ON a.chrom = b.chrom AND a.strand = b.strand AND a.region_id <> b.region_id AND a.start <= b.stop AND a.stop >= b.start GROUP BY ALL), z AS (SELECT region_id, chrom, strand, CASE WHEN hi IS NULL THEN start WHEN stop - hi < 60 THEN greatest(1, stop - 59) ELSE hi + 1 END AS start, CASE WHEN lo IS NULL THEN stop WHEN lo - start < 60 THEN start + 59 ELSE lo - 1 END AS stop FROM e) SELECT_ * FROM z WHERE start <= stop")
+     _ALL + "f AS (SELECT region_id, chrom, strand, CASE WHEN strand = '+' THEN greatest(start - 500, 1) ELSE stop + 1 END AS start, CASE WHEN strand = '+' THEN start - 1 ELSE stop + 500 END AS stop FROM t2), v AS (SELECT * FROM f WHERE start <= stop), e AS (SELECT a.*, max(b.stop) FILTER (a.strand = '+' AND b.stop < a.stop) AS hi, min(b.start) FILTER (a.strand = '-' AND b.start > a.start) AS lo FROM v a LEFT JOIN v b ON a.chrom = b.chrom AND a.strand = b.strand AND a.region_id <> b.region_id AND a.start <= b.stop AND a.stop >= b.start GROUP BY ALL), z AS (SELECT region_id, chrom, strand, CASE WHEN hi IS NULL THEN start WHEN stop - hi < 60 THEN greatest(1, stop - 59) ELSE hi + 1 END AS start, CASE WHEN lo IS NULL THEN stop WHEN lo - start < 60 THEN start + 59 ELSE lo - 1 END AS stop FROM e) SELECT_ * FROM z WHERE start <= stop")
 _add("set_bedgraph", lambda s, d: sets.bedgraph(X.tests(s, d)), "SELECT_ region_id, chrom, start, start AS stop, label FROM tests WHERE strand = '+'")
 _add("set_partition", lambda s, d: sets.partition(X.tests(s, d)).selectExpr("iv[0].chrom AS chrom", "iv[0].strand AS strand", "iv[0].start AS start", "iv[0].stop AS stop", "label"),
-     _HALF + "c AS (SELECT DISTINCT chrom, strand, unnest([start, stop + 1]) AS pos FROM t2), p AS (SELECT chrom, strand, pos AS start, lead(pos) OVER (PARTITION BY chrom, strand ORDER BY pos) - 1 AS stop FROM c) SELECT_ p.chrom, p.strand, p.start, p.stop, string_agg(t2.label, ',' ORDER BY t2.label) AS label FROM p JOIN t2 ON p.chrom = t2.chrom AND p.strand = t2.strand AND p.start <= t2.stop AND p.stop >= t2.start GROUP BY ALL")
+     _ALL + "c AS (SELECT DISTINCT chrom, strand, unnest([start, stop + 1]) AS pos FROM t2), p AS (SELECT chrom, strand, pos AS start, lead(pos) OVER (PARTITION BY chrom, strand ORDER BY pos) - 1 AS stop FROM c) SELECT_ p.chrom, p.strand, p.start, p.stop, string_agg(t2.label, ',' ORDER BY t2.label) AS label FROM p JOIN t2 ON p.chrom = t2.chrom AND p.strand = t2.strand AND p.start <= t2.stop AND p.stop >= t2.start GROUP BY ALL")
 _add("set_rev", lambda s, d: _one(sets.rev(X.tests(s, d))), f"SELECT_ {FLAT} FROM tests")
 _add("set_cluster", lambda s, d: _one(sets.cluster(X.tests(s, d))))
 
@@ -119,8 +129,8 @@ _add("ovl_overlap_unstranded", lambda s, d: overlaps.overlap(X.tests(s, d), X.re
 _SPL = "env AS (SELECT region_id, chrom, strand, min(start) AS start, max(stop) AS stop FROM apart GROUP BY ALL), "
 _add("ovl_overlap_spliced", lambda s, d: overlaps.overlap(X.tests(s, d), X.spliced(s, d, apart=True)).select("region_id", "ref_id"), f"SELECT_ DISTINCT t.region_id, r.region_id AS ref_id FROM tests t JOIN apart r ON {MEET}")
 _add("ovl_overlap_gaps", lambda s, d: overlaps.overlap(X.tests(s, d), X.spliced(s, d, apart=True), gaps=True).select("region_id", "ref_id"), _SPL.rstrip(", ") + f" SELECT_ t.region_id, r.region_id AS ref_id FROM tests t JOIN env r ON {MEET}")
-_add("ovl_subset", lambda s, d: _one(overlaps.subset(X.tests(s, d), X.refs(s, d))), _HALF.rstrip(", ") + f" SELECT_ {FLAT} FROM tests t WHERE EXISTS (SELECT 1 FROM t2 r WHERE {MEET})")
-_add("ovl_subset_inv", lambda s, d: _one(overlaps.subset(X.tests(s, d), X.refs(s, d), inverse=True)), _HALF.rstrip(", ") + f" SELECT_ {FLAT} FROM tests t WHERE NOT EXISTS (SELECT 1 FROM t2 r WHERE {MEET})")
+_add("ovl_subset", lambda s, d: _one(overlaps.subset(X.tests(s, d), X.refs(s, d))), _ALL.rstrip(", ") + f" SELECT_ {FLAT} FROM tests t WHERE EXISTS (SELECT 1 FROM refs r WHERE {MEET})")
+_add("ovl_subset_inv", lambda s, d: _one(overlaps.subset(X.tests(s, d), X.refs(s, d), inverse=True)), _ALL.rstrip(", ") + f" SELECT_ {FLAT} FROM tests t WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE {MEET})")
 _add("ovl_intersect", lambda s, d: _one(overlaps.intersect(X.tests(s, d), X.refs(s, d)), "ref_id"), f"SELECT_ t.region_id, r.region_id AS ref_id, t.chrom, t.strand, greatest(t.start, r.start) AS start, least(t.stop, r.stop) AS stop FROM tests t JOIN refs r ON {MEET}")
 _add("ovl_count", lambda s, d: overlaps.count(X.reads(s, d), X.refs(s, d)).select("region_id", "hits"), f"h AS (SELECT r.region_id, count(*) AS n FROM reads t JOIN refs r ON {MEET} GROUP BY 1) SELECT_ refs.region_id, coalesce(n, 0)::DOUBLE AS hits FROM refs LEFT JOIN h USING (region_id)")
 _add("ovl_count_weighted", lambda s, d: overlaps.count(X.reads(s, d), X.refs(s, d), max_label_value=20, least=5).select("region_id", "hits"), f"h AS (SELECT r.region_id, sum(least(20, t.label::DOUBLE)) AS hits FROM reads t JOIN refs r ON {MEET} GROUP BY 1) SELECT_ region_id, hits FROM h WHERE hits >= 5")
@@ -141,7 +151,7 @@ _add("ovl_annotate", lambda s, d: overlaps.annotate(X.tests(s, d), X.tests(s, d)
      S["set_annotator"][len(X.CTES) :].replace("SELECT * FROM z WHERE start <= stop", f", r2 AS (SELECT * FROM z WHERE start <= stop), j AS (SELECT t.region_id, r.region_id AS ref_id, 'gene' AS kind, ({_OFF['5p'][0]})::DOUBLE AS o, r.stop - r.start + 1 AS size FROM tests t JOIN t2 r ON {MEET} UNION ALL SELECT t.region_id, r.region_id, 'upstream', ({_OFF['3p'][0]})::DOUBLE, r.stop - r.start + 1 FROM tests t JOIN r2 r ON {MEET}) SELECT_ region_id, ref_id, kind, o AS \"offset\", round(o / size, 6) AS normalized, CASE WHEN kind = 'upstream' THEN CASE WHEN o >= 100 THEN 'distal' ELSE 'proximal' END WHEN o > 100 THEN 'distal:downstream' ELSE 'proximal:downstream' END AS tag FROM j"))
 _SIDE = "JOIN refs {r} ON p.chrom_{x} = {r}.chrom AND p.strand_{x} = {r}.strand AND p.start_{x} <= {r}.stop AND p.start_{x} + 49 >= {r}.start"
 _add("ovl_bin_pairs", lambda s, d: overlaps.bin_pairs(X.pairs(s, d), X.tests(s, d)), f"SELECT_ p.region_id, r1.region_id AS ref_1, r2.region_id AS ref_2 FROM prs p {_SIDE.format(r='r1', x='a')} {_SIDE.format(r='r2', x='b')} WHERE p.region_id % 20 = 1")
-S["ovl_bin_pairs"] = X.CTES + _HALF.rstrip(", ") + f" SELECT p.region_id, r1.region_id AS ref_1, r2.region_id AS ref_2 FROM prs p {_SIDE.format(r='r1', x='a')} {_SIDE.format(r='r2', x='b')}".replace("JOIN refs", "JOIN t2")
+S["ovl_bin_pairs"] = X.CTES + _ALL.rstrip(", ") + f" SELECT p.region_id, r1.region_id AS ref_1, r2.region_id AS ref_2 FROM prs p {_SIDE.format(r='r1', x='a')} {_SIDE.format(r='r2', x='b')}".replace("JOIN refs", "JOIN t2")
 _P = {(op, x): f"CASE WHEN p.strand_{x} = '{'-' if op == '3p' else '+'}' THEN p.start_{x} ELSE p.start_{x} + 49 END" for op in ("3p", "5p") for x in "ab"}
 
 
@@ -155,14 +165,14 @@ def _end(k, op, other, x):
 
 _ENDS = ", ".join(_end(k, *e) for k, e in enumerate((("3p", "5p", "a"), ("3p", "5p", "b"), ("5p", "3p", "a"), ("5p", "3p", "b"))))
 _add("ovl_dist", lambda s, d: overlaps.pair_dist(X.pairs(s, d), X.tests(s, d)),
-     _HALF + _ENDS + " SELECT_ p.region_id, o0 AS offset_0, o1 AS offset_1, o2 AS offset_2, o3 AS offset_3, least(o0 + o1, o2 + o3, o0 + o3, o1 + o2) AS least_sum, CASE WHEN chrom_a = chrom_b THEN greatest(start_a, start_b) + 49 - least(start_a, start_b) END AS span FROM prs p LEFT JOIN o0 USING (region_id) LEFT JOIN o1 USING (region_id) LEFT JOIN o2 USING (region_id) LEFT JOIN o3 USING (region_id) WHERE coalesce(o0, o1, o2, o3) IS NOT NULL")
+     _ALL + _ENDS + " SELECT_ p.region_id, o0 AS offset_0, o1 AS offset_1, o2 AS offset_2, o3 AS offset_3, least(o0 + o1, o2 + o3, o0 + o3, o1 + o2) AS least_sum, CASE WHEN chrom_a = chrom_b THEN greatest(start_a, start_b) + 49 - least(start_a, start_b) END AS span FROM prs p LEFT JOIN o0 USING (region_id) LEFT JOIN o1 USING (region_id) LEFT JOIN o2 USING (region_id) LEFT JOIN o3 USING (region_id) WHERE coalesce(o0, o1, o2, o3) IS NOT NULL")
 _add("ovl_per_test_count", lambda s, d: overlaps.per_test_count(X.tests(s, d), X.refs(s, d)), f"SELECT_ t.region_id, count(*) AS hits FROM tests t JOIN refs r ON {MEET} GROUP BY 1")
 
 _WIN = "m AS (SELECT t.chrom, strand, (start - 1) // 50 AS b, count(*) AS n FROM reads t WHERE start >= 1 AND (start - 1) // 50 < 2200 GROUP BY ALL), w AS (SELECT chrom, strand, b - h AS k0, sum(n) AS n FROM m, range(10) t(h) WHERE b - h BETWEEN 0 AND 2190 GROUP BY ALL) "
 _add("scan_counts", lambda s, d: scans.counts(X.reads(s, d), X.genome(s, X.reads(s, d)), size=500, step=50, least=3), _WIN + "SELECT_ chrom, strand, k0 + 1 AS k, k0 * 50 + 1 AS start, k0 * 50 + 500 AS stop, n::DOUBLE AS n FROM w WHERE n >= 3")
 _add("scan_counts_dense", lambda s, d: scans.counts(X.reads(s, d), X.genome(s, X.reads(s, d)), size=500, step=500, least=0, stranded=False), "m AS (SELECT chrom, (start - 1) // 500 AS b, count(*) AS n FROM reads GROUP BY ALL) SELECT_ g.chrom, '+' AS strand, b0 + 1 AS k, b0 * 500 + 1 AS start, b0 * 500 + 500 AS stop, coalesce(n, 0)::DOUBLE AS n FROM genome g CROSS JOIN range(220) t(b0) LEFT JOIN m ON m.chrom = g.chrom AND m.b = b0")
 _add("scan_counts_points", lambda s, d: scans.counts(X.reads(s, d), X.genome(s, X.reads(s, d)), size=100, step=100, op="p"), "m AS (SELECT chrom, strand, b, sum(least(stop, (b + 1) * 100) - greatest(start, b * 100 + 1) + 1) AS n FROM reads, range(1100) t(b) WHERE b BETWEEN (start - 1) // 100 AND (stop - 1) // 100 GROUP BY ALL) SELECT_ chrom, strand, b + 1 AS k, b * 100 + 1 AS start, b * 100 + 100 AS stop, n::DOUBLE AS n FROM m WHERE n >= 1")
-_add("scan_counts_ref", lambda s, d: scans.counts(X.reads(s, d), X.genome(s, X.reads(s, d)), size=500, step=50, least=3, ref=X.tests(s, d)), _HALF + _WIN + "SELECT_ chrom, strand, k0 + 1 AS k, k0 * 50 + 1 AS start, k0 * 50 + 500 AS stop, n::DOUBLE AS n FROM w WHERE n >= 3 AND EXISTS (SELECT 1 FROM t2 r WHERE r.chrom = w.chrom AND r.strand = w.strand AND r.start <= k0 * 50 + 500 AND r.stop >= k0 * 50 + 1)")
+_add("scan_counts_ref", lambda s, d: scans.counts(X.reads(s, d), X.genome(s, X.reads(s, d)), size=500, step=50, least=3, ref=X.tests(s, d)), _ALL + _WIN + "SELECT_ chrom, strand, k0 + 1 AS k, k0 * 50 + 1 AS start, k0 * 50 + 500 AS stop, n::DOUBLE AS n FROM w WHERE n >= 3 AND EXISTS (SELECT 1 FROM t2 r WHERE r.chrom = w.chrom AND r.strand = w.strand AND r.start <= k0 * 50 + 500 AND r.stop >= k0 * 50 + 1)")
 
 
 def _split(s, d):
@@ -170,9 +180,36 @@ def _split(s, d):
     return r.where("l_returnflag = 'R'"), r.where("l_returnflag <> 'R'")
 
 
+def _binomial(k: str, p: str, n: str) -> str:
+    """SQL of P(X > k): 400 terms at most, as further ones are far from the mean here."""
+    return f"coalesce(list_sum(list_transform(range({k} + 1, least({n}, {k} + 400) + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - ({p}))))), 0)"
+
+
+def _poisson(k: str, mu: str) -> str:
+    return f"list_sum(list_transform(range({k} + 1, {k} + 400), lambda i: exp(i * ln({mu}) - {mu} - lgamma(i + 1))))"
+
+
+def _tail(method: str, x: str, y: str, a: str, b: str) -> str:
+    return {
+        "binomial": _binomial(x, f"greatest(({y} + 1) / 501.0::DOUBLE, {a}.n / size)", "501"), "poisson": _poisson(f"({x} + 5)", f"({y} + 5.0::DOUBLE)"),
+        "binomial2": _binomial(f"({x} + 1)", f"(({y} + 1) / {b}.n::DOUBLE)", f"{a}.n"), "cbinomial": _binomial(f"({x} + 1)", "0.5::DOUBLE", f"({x} + {y} + 2)"),
+    }[method]
+
+
+def _peaks_sql(method: str) -> str:
+    """Counts, tails, and the greatest p-value whose rank among those of the null is low enough, all over windows of 500 in steps of 100."""
+    side = "{0} AS (SELECT chrom, b - h AS k0, sum(n) AS n FROM (SELECT chrom, (start - 1) // 100 AS b, count(*) AS n FROM reads WHERE l_returnflag {1} 'R' AND start >= 1 AND (start - 1) // 100 < 1100 GROUP BY ALL), range(5) t(h) WHERE b - h BETWEEN 0 AND 1095 GROUP BY ALL), n{0} AS (SELECT count(*) AS n, 1100000::DOUBLE AS size FROM reads WHERE l_returnflag {1} 'R'), "
+    return (side.format("wa", "=") + side.format("wb", "<>").replace(", 1100000::DOUBLE AS size", "")
+            + "v AS (SELECT wa.chrom, wa.k0, least(wa.n, 500)::BIGINT AS x, least(coalesce(wb.n, 0), 500)::BIGINT AS y FROM wa LEFT JOIN wb USING (chrom, k0) WHERE least(wa.n, 500) >= 1), "
+            + f"p AS (SELECT v.*, {_tail(method, 'x', 'y', 'nwa', 'nwb')} AS p1, {_tail(method, 'y', 'x', 'nwb', 'nwa')} AS p2 FROM v, nwa, nwb), f AS (SELECT * FROM p WHERE p1 <= 0.05), "
+            + "q AS (SELECT o.p1, (SELECT count(*) FROM f i WHERE i.p1 <= o.p1) AS k, (SELECT count(*) FROM f i WHERE i.p2 <= o.p1) AS z FROM (SELECT DISTINCT p1 FROM f) o) "
+            + "SELECT_ chrom, '+' AS strand, k0 * 100 + 1 AS start, k0 * 100 + 500 AS stop, x::DOUBLE AS v1, y::DOUBLE AS v2, round(p1, 6) AS p1, round(p2, 6) AS p2 FROM f WHERE p1 <= (SELECT max(p1) FROM q WHERE z / k <= 0.5 AND k > 1)")
+
+
+_PEAK = ["chrom", "strand", "start", "stop", "v1", "v2", "round(p1, 6) AS p1", "round(p2, 6) AS p2"]
 for _m in ("binomial", "poisson", "binomial2", "cbinomial", "normal"):
-    _add(f"scan_peaks_{_m}", lambda s, d, m=_m: scans.peaks(*(lambda a, b: (a, X.genome(s, X.reads(s, d)), b))(*_split(s, d)), size=500, step=100, pval=0.05, qval=0.5, method=m, compare=True))
-_add("scan_peaks_random", lambda s, d: scans.peaks(X.reads(s, d), X.genome(s, X.reads(s, d)), size=500, step=100, pval=0.05, qval=0.5, seed=3))
+    _add(f"scan_peaks_{_m}", lambda s, d, m=_m: scans.peaks(*(lambda a, b: (a, X.genome(s, X.reads(s, d)), b))(*_split(s, d)), size=500, step=100, pval=0.05, qval=0.5, method=m, compare=True).selectExpr(*_PEAK), _peaks_sql(_m) if _m != "normal" else None)
+_add("scan_peaks_random", lambda s, d: scans.peaks(X.reads(s, d), X.genome(s, X.reads(s, d)), size=500, step=100, pval=0.05, qval=0.5, seed=3).selectExpr(*_PEAK))
 
 _MID = f"(({_OFF['5p'][0]}) + ({_OFF['5p'][1]})) / 2.0"
 _WIDE = "wide AS (SELECT region_id, chrom, strand, start - CASE WHEN strand = '+' THEN 300 ELSE 500 END AS start, stop + CASE WHEN strand = '+' THEN 500 ELSE 300 END AS stop FROM refs), "
@@ -180,7 +217,10 @@ _add("app_profile", lambda s, d: profiles.profile(X.tests(s, d), X.refs(s, d), u
      _WIDE + f"z AS (SELECT ({_MID}) / 800 AS z FROM tests t JOIN wide r ON {MEET}), h AS (SELECT floor(20 * z)::INTEGER AS bin, count(*) AS n FROM z WHERE z >= 0 AND z < 1 GROUP BY 1) SELECT_ b::INTEGER AS bin, round(coalesce(n, 0) / (SELECT count(*) FROM refs)::DOUBLE, 9) AS value FROM range(20) t(b) LEFT JOIN h ON h.bin = b")
 _add("app_heatmap", lambda s, d: profiles.heatmap(X.tests(s, d), X.refs(s, d), upstream=300, downstream=500, bins=8, smooth=1).select("region_id", F.posexplode("v").alias("bin", "value")).selectExpr("region_id", "bin", "round(value, 6) AS value"),
      _WIDE + f"z AS (SELECT r.region_id, floor(8 * ({_MID}) / 800)::INTEGER AS b FROM tests t JOIN wide r ON {MEET} WHERE ({_MID}) / 800 >= 0 AND ({_MID}) / 800 < 1), h AS (SELECT region_id, b, count(*) AS n FROM z GROUP BY ALL), g AS (SELECT refs.region_id, b0::INTEGER AS bin, coalesce(n, 0) AS n FROM refs CROSS JOIN range(8) t(b0) LEFT JOIN h ON h.region_id = refs.region_id AND h.b = b0) SELECT_ region_id, bin, round(avg(n) OVER (PARTITION BY region_id ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS value FROM g")
-_add("app_peakdiff_scan", lambda s, d: profiles.peakdiff_scan({"a": [_split(s, d)[0]], "b": [_split(s, d)[1]]}, X.genome(s, X.reads(s, d)), size=500, step=500, pval=0.01))
+_add("app_peakdiff_scan", lambda s, d: profiles.peakdiff_scan({"a": [_split(s, d)[0]], "b": [_split(s, d)[1]]}, X.genome(s, X.reads(s, d)), size=500, step=500, pval=0.01),
+     "ca AS (SELECT chrom, (start - 1) // 500 AS k0, count(*) AS n FROM reads WHERE l_returnflag = 'R' GROUP BY ALL), cb AS (SELECT chrom, (start - 1) // 500 AS k0, count(*) AS n FROM reads WHERE l_returnflag <> 'R' GROUP BY ALL), nn AS (SELECT count(*) FILTER (l_returnflag = 'R') / 1100000 AS pa, count(*) FILTER (l_returnflag <> 'R') / 1100000 AS pb FROM reads), "
+     "v AS (SELECT chrom, k0, least(coalesce(ca.n, 0), 500) AS x, least(coalesce(cb.n, 0), 500) AS y FROM ca FULL JOIN cb USING (chrom, k0) WHERE k0 BETWEEN 0 AND 219) "
+     f"SELECT_ chrom, '+' AS strand, k0 + 1 AS k, k0 * 500 + 1 AS start, k0 * 500 + 500 AS stop, x::DOUBLE AS a_1, y::DOUBLE AS b_1 FROM v, nn WHERE least({_binomial('x', 'pa', '501')}, {_binomial('y', 'pb', '501')}) <= 0.01")
 _add("app_peakdiff", lambda s, d: profiles.peakdiff(profiles.peakdiff_scan({"a": [_split(s, d)[0]], "b": [_split(s, d)[1]]}, X.genome(s, X.reads(s, d)), pval=0.5), "a", "b"))
 
 _add("hic_filter", lambda s, d: hic.classify(X.hic_reads(s, d), X.fragments(s, d)).select("read_id", "class"),
@@ -216,7 +256,7 @@ _vec("div", vectors.div, "SELECT_ c.row_id, c.j - 1 AS j, round(c.x / v[1], 6) A
 _vec("exp", lambda v: vectors.exp(v, 2.0), "SELECT_ row_id, j, round(pow(2.0::DOUBLE, x), 6) AS x FROM cell")
 _vec("log", lambda v: vectors.log(v, 2.0, 1.0), "SELECT_ row_id, j, round(ln(x + 1) / ln(2.0::DOUBLE), 6) AS x FROM cell")
 _vec("pow", lambda v: vectors.pow_(v, 3), "SELECT_ row_id, j, round(pow(x, 3), 6) AS x FROM cell")
-_vec("fold", vectors.fold, "c AS (SELECT * FROM cell WHERE j < 5), p AS (SELECT *, lag(x) OVER (PARTITION BY row_id ORDER BY j) AS px, first(x) OVER (PARTITION BY row_id ORDER BY j) AS x0 FROM c) SELECT_ row_id, j, round(x, 6) AS x FROM c UNION ALL SELECT row_id, 5 + 2 * (j - 1) + h, round(CASE WHEN h = 0 THEN x / x0 ELSE x / px END - 1, 6) FROM p, range(2) t(h) WHERE j > 0")
+_vec("fold", vectors.fold, "p AS (SELECT *, lag(x) OVER w AS px, first(x) OVER w AS x0, count(*) OVER (PARTITION BY row_id) AS n FROM cell WINDOW w AS (PARTITION BY row_id ORDER BY j)) SELECT_ row_id, j, round(x, 6) AS x FROM cell UNION ALL SELECT row_id, n + 2 * (j - 1) + h, round(CASE WHEN h = 0 THEN x / x0 ELSE x / px END - 1, 6) FROM p, range(2) t(h) WHERE j > 0")
 _add("vec_format", lambda s, d: vectors.format_(X.vec(s, d), "%.3f", ",").select("row_id", "text"), "SELECT_ row_id, string_agg(printf('%.3f', x), ',' ORDER BY j) AS text FROM cell GROUP BY row_id")
 _add("vec_hist", lambda s, d: vectors.hist(X.vec(s, d), 10, -0.5, 0.5).selectExpr("bin", "round(start, 6) AS start", "round(fraction, 9) AS fraction", "count"), "h AS (SELECT floor(10 * ((x + 0.5) / 1.0::DOUBLE))::INTEGER AS bin, count(*) AS n FROM cell WHERE x + 0.5 >= 0 AND x + 0.5 < 1 GROUP BY 1) SELECT_ k::INTEGER AS bin, round(-0.5 + k * 0.1::DOUBLE, 6) AS start, round(coalesce(n, 0) / (SELECT sum(n) FROM h)::DOUBLE, 9) AS fraction, coalesce(n, 0) AS count FROM range(10) t(k) LEFT JOIN h ON h.bin = k")
 _val("imax", vectors.imax, f"(list_position(v, {NUM('max')}) - 1)::BIGINT", False)
@@ -274,7 +314,7 @@ Q["mat_format"], S["mat_format"] = Q["vec_format"], S["vec_format"]
 _mat("shrink", lambda v: matrix.shrink(v.withColumn("v", F.transform("v", lambda x, j: F.when(j % 3 == 0, 0.0).otherwise(x)))), "SELECT_ row_id, j - 1 - j // 3 AS j, round(x, 6) AS x FROM cell WHERE j % 3 <> 0")
 _mat("rel", matrix.rel, "SELECT_ row_id, j - 1 AS j, round(x / px, 6) AS x FROM (SELECT *, lag(x) OVER (PARTITION BY row_id ORDER BY j) AS px FROM cell) WHERE px IS NOT NULL")
 _mat("rel_first", lambda v: matrix.rel(v, "first"), S["vec_div"][len(X.CTES) :].replace("_u AS (SELECT 1)\nSELECT ", "SELECT_ "))
-_add("mat_rel_all", lambda s, d: _cells(matrix.rel(X.vec(s, d), "all")), "SELECT_ a.row_id, row_number() OVER (PARTITION BY a.row_id ORDER BY a.j, b.j) - 1 AS j, round(b.x / a.x, 6) AS x FROM cell a JOIN cell b ON a.row_id = b.row_id AND a.j < b.j AND b.j < 4")
+_add("mat_rel_all", lambda s, d: _cells(matrix.rel(X.vec(s, d), "all")), "SELECT_ a.row_id, row_number() OVER (PARTITION BY a.row_id ORDER BY a.j, b.j) - 1 AS j, round(b.x / a.x, 6) AS x FROM cell a JOIN cell b ON a.row_id = b.row_id AND a.j < b.j")
 _add("mat_del", lambda s, d: matrix.drop_correlated(matrix.transpose(X.vec(s, d)).withColumn("label", F.lit("c")), 0.3).select("row_id"))
 
 _YS = {
@@ -284,7 +324,8 @@ _YS = {
 for _h, _y in _YS.items():
     _add(f"enr_{_h}", lambda s, d, h=_h: enrichment.statistic(X.cats(s, d), h).selectExpr("category", "size", "round(y, 6) AS y"), f"SELECT_ category, n AS size, round({_y}, 6) AS y FROM cat, allp")
 _add("enr_sum_under", lambda s, d: enrichment.statistic(X.cats(s, d), "sum", under=True).selectExpr("category", "size", "round(y, 6) AS y"), "SELECT_ category, n AS size, round(-v / d, 6) AS y FROM cat, allp")
-_add("enr_n_hyper", lambda s, d: enrichment.statistic(X.cats(s, d), "n", approx=True))
+_add("enr_n_hyper", lambda s, d: enrichment.statistic(X.cats(s, d), "n", approx=True).selectExpr("category", "size", "round(y, 9) AS y"),
+     "SELECT_ category, n AS size, round(least(1, list_sum(list_transform(range(greatest(k, n - (n_all - k_all))::BIGINT, least(k_all, n)::BIGINT + 1), lambda j: exp(lgamma(k_all + 1) - lgamma(j + 1) - lgamma(k_all - j + 1) + lgamma(n_all - k_all + 1) - lgamma(n - j + 1) - lgamma(n_all - k_all - n + j + 1) - lgamma(n_all + 1) + lgamma(n + 1) + lgamma(n_all - n + 1))))), 9) AS y FROM cat, allp")
 _add("enr_t_tail", lambda s, d: enrichment.statistic(X.cats(s, d), "t", approx=True))
 _add("enr_empirical", lambda s, d: enrichment.empirical(X.cats(s, d), "sum", permutations=50, seed=1))
 _add("enr_bh", lambda s, d: enrichment.adjusted(enrichment.statistic(X.cats(s, d), "sens").selectExpr("category", "1 - y AS p")).selectExpr("category", "round(p, 6) AS p", "round(fdr, 6) AS fdr", "round(q, 6) AS q"),
