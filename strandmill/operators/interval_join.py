@@ -1,9 +1,11 @@
 """The interval join: an equi-join on bins instead of a nested loop over a range predicate.
 
-Both sides are exploded to the bins of 2**bits positions that their envelopes touch and joined on chromosome,
-strand and bin; a pair stays in the bin that is the greater of both first bins, so it comes once.  The width
-follows from the 90th percentile of the lengths, unless it is given.  Bins part the work of a chromosome, so a
-chromosome with most of the regions makes no task larger; AQE splits what is left of skew.
+Bins come in levels, 2**LEVELS[i] positions wide.  A region's own level is the narrowest whose bins are as long as it
+is, so it touches two; the last level takes the longest, which touch more.  A pair meets at the wider of both levels:
+each side is exploded to the bins of its own level and of the wider ones that the other side has regions of, which one
+small aggregate tells.  Both sides are joined on chromosome, strand, level and bin; a pair stays in the bin that is the
+greater of both first bins, so it comes once.  Thus regions of like length cost two rows each, and a few as long as
+their chromosome make neither many rows nor a task that holds all others.  AQE splits what is left of skew.
 """
 
 from __future__ import annotations
@@ -11,14 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def bin_bits(*sides: DataFrame) -> int:
-    """From one aggregate over each side: at least the length that nine of ten regions have, doubled."""
-    most = 1
-    for s in sides:
-        q = s.agg(F.percentile_approx(F.expr("stop - start + 1"), 0.9, 1000)).first()[0]
-        most = max(most, q or 1)
-    return min(40, max(8, (2 * most - 1).bit_length()))
+LEVELS = (9, 12, 15, 18, 22)
+_OWN = "CASE " + " ".join(f"WHEN stop - start < {1 << b} THEN {b}" for b in LEVELS[:-1]) + f" ELSE {LEVELS[-1]} END"
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -26,19 +22,41 @@ def flat(df: DataFrame) -> DataFrame:
     return df.selectExpr("region_id", "label", "iv", "iv[0].chrom AS chrom", "iv[0].strand AS strand", "iv[0].start AS start", "element_at(iv, -1).stop AS stop")
 
 
+def levels(test: DataFrame, ref: DataFrame) -> tuple[list[int], list[int], bool]:
+    """The levels that regions of either side have, and whether a region has more than one interval: a row for each level."""
+    both = test.selectExpr("0 AS side", f"{_OWN} AS level", "size(iv) > 1 AS many").union(ref.selectExpr("1 AS side", f"{_OWN} AS level", "size(iv) > 1 AS many"))
+    found = [tuple(r) for r in both.groupBy("side", "level").agg(F.max("many")).collect()]
+    return sorted(b for s, b, _ in found if s == 0), sorted(b for s, b, _ in found if s == 1), any(m for _, _, m in found)
+
+
+def _binned(df: DataFrame, name: str, keys: list[str], others: list[int], bits: int | None) -> DataFrame:
+    """``name`` (a struct, with the intervals only where there are more than one), the keys, level and bin."""
+    if bits is not None:
+        own, at = f"{bits}", f"transform(sequence(shiftright(start, {bits}), shiftright(stop, {bits})), k -> named_struct('level', {bits}, 'bin', k))"
+    else:
+        own, widths = _OWN, f"array_distinct(transform(array({', '.join(map(str, others))}), m -> greatest(m, {_OWN})))"
+        at = f"flatten(transform({widths}, b -> transform(sequence(shiftright(start, b), shiftright(stop, b)), k -> named_struct('level', b, 'bin', k))))"
+    slim = df.selectExpr("region_id", "label", "CASE WHEN size(iv) > 1 THEN iv END AS more", "chrom", "strand", "start", "stop", f"{own} AS own", f"explode({at}) AS at")
+    return slim.select(F.struct("region_id", "label", "more", "chrom", "strand", "start", "stop", "own").alias(name), *keys, "at.level", "at.bin")
+
+
 def interval_join(test: DataFrame, ref: DataFrame, *, stranded: bool = True, gaps: bool = False, bits: int | None = None) -> DataFrame:
-    """Pairs (t, r: structs of the columns of ``flat``) whose intervals overlap.
+    """Pairs (t, r: structs of the columns of ``flat``, and ``one``: a single interval) whose intervals overlap.
 
-    ``gaps``: it is enough that the envelopes overlap.  Regions that start after they stop are passed over.
+    ``gaps``: it is enough that the envelopes overlap.  Regions that start after they stop are passed over.  With
+    ``bits`` all bins have that width and nothing is asked of the data beforehand, as streams need it.
     """
     t, r = flat(test).where("start <= stop"), flat(ref).where("start <= stop")
-    b = bits if bits is not None else bin_bits(t, r)
-    keys = ["chrom", "strand", "bin"] if stranded else ["chrom", "bin"]
-    bins = F.explode(F.expr(f"sequence(shiftright(start, {b}), shiftright(stop, {b}))")).alias("bin")
-    x = t.select(F.struct(*t.columns).alias("t"), "chrom", "strand", bins)
-    y = r.select(F.struct(*r.columns).alias("r"), F.col("chrom"), F.col("strand"), bins)
-    met = x.select("t", *keys).join(y.select("r", *keys), keys)
-    met = met.where(f"t.start <= r.stop AND t.stop >= r.start AND bin = shiftright(greatest(t.start, r.start), {b})")
-    if not gaps:
-        met = met.where("(size(t.iv) = 1 AND size(r.iv) = 1) OR exists(t.iv, a -> exists(r.iv, b -> a.start <= b.stop AND a.stop >= b.start))")
-    return met.select("t", "r")
+    of_t, of_r, many = levels(t, r) if bits is None else ([], [], True)
+    if bits is None and len({*of_t, *of_r}) < 2:  # lengths are alike
+        bits = max([*of_t, *of_r, LEVELS[0]])
+    keys = ["chrom", "strand"] if stranded else ["chrom"]
+    met = _binned(t, "t", keys, of_r or LEVELS[:1], bits).join(_binned(r, "r", keys, of_t or LEVELS[:1], bits), [*keys, "level", "bin"])
+    if bits is None:
+        met = met.where("level = greatest(t.own, r.own)")
+    met = met.where("t.start <= r.stop AND t.stop >= r.start AND bin = shiftright(greatest(t.start, r.start), level)")
+    own = "coalesce({0}.more, array(named_struct('chrom', {0}.chrom, 'strand', {0}.strand, 'start', {0}.start, 'stop', {0}.stop)))".format
+    if many and not gaps:
+        met = met.where(f"(t.more IS NULL AND r.more IS NULL) OR exists({own('t')}, a -> exists({own('r')}, b -> a.start <= b.stop AND a.stop >= b.start))")
+    whole = "named_struct('region_id', {0}.region_id, 'label', {0}.label, 'iv', {1}, 'chrom', {0}.chrom, 'strand', {0}.strand, 'start', {0}.start, 'stop', {0}.stop, 'one', {0}.more IS NULL)".format
+    return met.selectExpr(f"{whole('t', own('t'))} AS t", f"{whole('r', own('r'))} AS r")

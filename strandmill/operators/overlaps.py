@@ -41,12 +41,13 @@ def count(test, ref, *, least=0, max_label_value=1.0, **how):
     return _per_ref(ref, met.groupBy("region_id").agg(F.sum("w").alias("hits")), "hits", least)
 
 
-_BASES = "aggregate(t.iv, 0L, (a, x) -> a + aggregate(r.iv, 0L, (b, y) -> b + greatest(0, least(x.stop, y.stop) - greatest(x.start, y.start) + 1)))"
+_FLAT = "greatest(0, least(t.stop, r.stop) - greatest(t.start, r.start) + 1)"
+_BASES = f"CASE WHEN t.one AND r.one THEN {_FLAT} ELSE aggregate(t.iv, 0L, (a, x) -> a + aggregate(r.iv, 0L, (b, y) -> b + greatest(0, least(x.stop, y.stop) - greatest(x.start, y.start) + 1))) END"
 
 
 def coverage(test, ref, *, least=0, max_label_value=1.0, **how):
     """Bases of each reference region under test intervals, times their weights."""
-    bases = F.expr("greatest(0, least(t.stop, r.stop) - greatest(t.start, r.start) + 1)" if how.get("gaps") else _BASES)
+    bases = F.expr(_FLAT if how.get("gaps") else _BASES)
     met = interval_join(test, ref, **how).select(F.col("r.region_id").alias("region_id"), (bases * weight(F.col("t.label"), max_label_value)).alias("w"))
     return _per_ref(ref, met.groupBy("region_id").agg(F.sum("w").alias("bases")), "bases", least)
 
@@ -80,7 +81,7 @@ def offset(test, ref, *, op="5p", fraction=False, centre=False, stranded=True, *
     """
     a, b = _offsets(op, "q.strand" if stranded else "r.strand")
     met = interval_join(test.where("size(iv) = 1"), ref, stranded=stranded, **how).withColumnRenamed("t", "q")
-    out = met.selectExpr("q.region_id", "r.region_id AS ref_id", f"{a} AS a", f"{b} AS b", "aggregate(r.iv, 0L, (s, x) -> s + x.stop - x.start + 1) AS size")
+    out = met.selectExpr("q.region_id", "r.region_id AS ref_id", f"{a} AS a", f"{b} AS b", "CASE WHEN r.one THEN r.stop - r.start + 1 ELSE aggregate(r.iv, 0L, (s, x) -> s + x.stop - x.start + 1) END AS size")
     if centre:
         out = out.withColumn("a", F.expr("(a + b) div 2")).withColumn("b", F.col("a"))
     by = "/ size" if fraction else ""

@@ -9,7 +9,9 @@ CHROMS, LENGTH = 10, 110_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; where it has fewer files than there are cores, its rows are spread over all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def _iv(chrom: str, strand: str, start: str, stop: str) -> str:

@@ -1,11 +1,14 @@
 """Region operators on hand-made intervals."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from strandmill.functions.regions import INTERVAL
 from strandmill.functions.tails import binomial_tail, poisson_draw, poisson_tail, t_tail
-from strandmill.operators import enrichment, hic, matrix, overlaps, profiles, regions, scans, sets, vectors
+from strandmill.operators import enrichment, hic, interval_join as joins, matrix, overlaps, profiles, regions, scans, sets, vectors
 from strandmill.operators.interval_join import interval_join
 
 
@@ -152,3 +155,15 @@ def test_enrichment(spark):
     assert all(0 <= r.p <= 1 for r in p)
     q = enrichment.adjusted(spark.createDataFrame([("a", 0.01), ("b", 0.5), ("c", 0.02)], "category string, p double")).orderBy("p").collect()
     assert q[0].q == 0 and q[0].fdr <= q[1].fdr <= q[2].fdr
+
+
+def test_one_region_as_long_as_its_chromosome(spark):
+    """Short regions, some of middle lengths and one of 200 million positions: every pair once, without rows for all its bins."""
+    r = random.Random(11)
+    rows = [(i, "_", [("chr1", "+", s := r.randrange(1, 200_000_000), s + r.choice([0, 40, 511, 512, 5_000, 70_000, 3_000_000]))]) for i in range(400)]
+    rows += [(1000, "_", [("chr1", "+", 1, 200_000_000)]), (1001, "_", [("chr1", "+", 5, 9), ("chr1", "+", 150_000_000, 150_000_009)])]
+    frame = spark.createDataFrame(rows, "region_id long, label string, iv array<struct<chrom:string,strand:string,start:long,stop:long>>")
+    got = Counter(tuple(x) for x in interval_join(frame, frame).selectExpr("t.region_id", "r.region_id").collect())
+    want = Counter((i, j) for i, _, a in rows for j, _, b in rows if any(x[2] <= y[3] and x[3] >= y[2] for x in a for y in b))
+    assert got == want
+    assert joins._binned(joins.flat(frame), "t", ["chrom"], list(joins.LEVELS), None).count() < 402 * 12
