@@ -23,11 +23,13 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors see.
 
-    Where the session names none (tests on one machine), a temporary folder is set for it.
+    Where the session names none, a temporary folder is set for it on one machine (tests); on a cluster that is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"

@@ -7,10 +7,11 @@ an entity.  All counts are of distinct texts, so copies change nothing: in how m
 
     PMI(term; entity) = log2(p(entity | term) / p(entity))        IC(entity) = -log2 p(entity)
 
-follows what of the entity's information the term leaves open, IC - PMI = -log2 p(entity | term).  p(entity | term)
-is c / df where c is ``MIN_CONTEXTS`` or more; below, where counts are few, it is smoothed to c / (df + ``SMOOTH``),
-and the term must stand in half of the entity's texts.  A term that leaves at most ``OPEN_BITS`` open discloses the
-entity.  So does a term near it that discloses the entity's kind, all entities of a kind taken as one; thus a name
+follows how much of the entity's information the term gives away.  p(entity | term) is c / df where c is ``MIN_CONTEXTS``
+or more; below, where counts are few, it is smoothed to c / (df + ``SMOOTH``), and the term must stand in half of the
+entity's texts.  p(entity) is n over all distinct texts.  A term discloses the entity where PMI >= ``DISCLOSED`` * IC: the
+rarer the entity, the more other texts the term may stand in.
+So does a term near it that discloses the entity's kind, all entities of a kind taken as one; thus a name
 beside many addresses, each met once, is found.  In documents with that entity, the term is a span of the kind
 ``term``, and sanitised texts have it generalised (names, by their capital, to [NAME]) or removed (others, to
 [TERM]).
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,9 +38,10 @@ from pyspark.sql import types as T
 from strandmill.llm.common import rows, saved, tune
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of an entity that are its context; characters in which they are looked for.
-NEAR_WORDS, NEAR_CHARS = 8, 160
-MIN_CONTEXTS, OPEN_BITS, SMOOTH = 3, 1.0, 0.5
+#: Words on either side of an entity that are its context.
+NEAR_WORDS = 8
+#: Share of an entity's information that a disclosing term gives away; texts from which c / df isn't smoothed; its smoothing.
+DISCLOSED, MIN_CONTEXTS, SMOOTH = 0.9, 3, 0.5
 #: Bits of the filters of terms and of copied texts; their size doesn't grow.
 FILTER_BITS = 1 << 23
 
@@ -95,12 +98,13 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, li
     for a, _, b in spans:
         bare += [text[done:a], " " * (b - max(a, done))]
         done = max(done, b)
-    text_ = "".join([*bare, text[done:]])
+    words = list(TERM.finditer("".join([*bare, text[done:]])))
+    starts, ends = [m.start() for m in words], [m.end() for m in words]
     out = []
-    for a, k, b in spans:
-        before = TERM.findall(text_, max(0, a - NEAR_CHARS), a)[-NEAR_WORDS:]
-        after = TERM.findall(text_, b, b + NEAR_CHARS)[:NEAR_WORDS]
-        out.append((entity_key(k, text[a:b]), sorted({w.lower() for w in before + after})))
+    for a, k, b in spans:  # none of the words overlaps a span
+        before, after = bisect_right(ends, a), bisect_left(starts, b)
+        near = words[max(0, before - NEAR_WORDS) : before] + words[after : after + NEAR_WORDS]
+        out.append((entity_key(k, text[a:b]), sorted({m.group().lower() for m in near})))
     return out
 
 
@@ -212,26 +216,30 @@ def _frequencies(terms: DataFrame, found: DataFrame, docs: DataFrame, text_col:
     return once.groupBy("term").agg(F.sum("k").alias("df"))
 
 
-def _open(min_contexts: int) -> Column:
+def _discloses(texts: int, min_contexts: int, share: float) -> Column:
+    """PMI >= share * IC, of columns c, n and df; never where nothing is known of the entity."""
     few = F.col("c") < min_contexts
     p = F.when(few, F.when(2 * F.col("c") >= F.col("n"), F.col("c") / (F.col("df") + SMOOTH))).otherwise(F.least(F.col("c") / F.col("df"), F.lit(1.0)))
-    return -F.log2(p)
+    information = -F.log2(F.col("n") / F.lit(float(max(texts, 1))))
+    return F.coalesce((F.log2(p) + information >= share * information) & (information > 0), F.lit(False))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", *, min_contexts: int = MIN_CONTEXTS, open_bits: float = OPEN_BITS) -> DataFrame:
+def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", *, min_contexts: int = MIN_CONTEXTS, disclosed: float = DISCLOSED) -> DataFrame:
     """entity, term: the terms that disclose an entity, by itself or by its kind."""
+    texts = found.agg(F.count_distinct("hash")).first()[0]
     each = found.select("hash", F.explode("found").alias("f")).select("hash", "f.entity", "f.terms")
     sizes = each.select("entity", "hash").distinct().groupBy("entity").agg(F.count("*").alias("n"))
     met = each.select("entity", "hash", F.explode("terms").alias("term")).distinct()
     near = saved(met.groupBy("entity", "term").agg(F.count("*").alias("c")).join(sizes, "entity"), "near")
     kind = F.substring_index("entity", ":", 1)
     kinds = each.select(kind.alias("kind"), "hash").distinct().groupBy("kind").agg(F.count("*").alias("n"))
-    near_kind = met.select(kind.alias("kind"), "hash", "term").distinct().groupBy("kind", "term").agg(F.count("*").alias("c")).join(F.broadcast(kinds), "kind")
+    near_kind = met.select(kind.alias("kind"), "hash", "term").distinct().groupBy("kind", "term").agg(F.count("*").alias("c")).join(F.broadcast(kinds), "kind")  # four rows
     df = saved(_frequencies(near.select("term").distinct(), found, docs, text_col), "frequencies")
-    by_kind = near_kind.join(df, "term").where(_open(min_contexts) <= open_bits).groupBy("term").agg(F.collect_set("kind").alias("kinds"))
+    discloses = _discloses(texts, min_contexts, disclosed)
+    by_kind = near_kind.join(df, "term").where(discloses).groupBy("term").agg(F.collect_set("kind").alias("kinds"))
     every = near.join(df.join(by_kind, "term", "left"), "term")
     by_kind_too = F.coalesce(F.array_contains("kinds", kind), F.lit(False))
-    return saved(every.where((_open(min_contexts) <= open_bits) | by_kind_too).select("entity", "term"), "disclosing")
+    return saved(every.where(discloses | by_kind_too).select("entity", "term"), "disclosing")
 
 
 def _spark_hash(word: str) -> int:
@@ -246,11 +254,11 @@ def _with_terms(found: DataFrame, risky: DataFrame) -> DataFrame:
     return found.drop("found", "hash").join(terms, "nr", "left")
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_contexts: int = MIN_CONTEXTS, open_bits: float = OPEN_BITS) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_contexts: int = MIN_CONTEXTS, disclosed: float = DISCLOSED) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans (kind:start:end, comma-joined, end exclusive)."""
     tune(docs.sparkSession)
     found = _analysed(docs, text_col, [id_col], whole=False)
-    risky = disclosing(found, docs, text_col, min_contexts=min_contexts, open_bits=open_bits)
+    risky = disclosing(found, docs, text_col, min_contexts=min_contexts, disclosed=disclosed)
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,13 +274,13 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min
     return every.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_term long, base_sha256 string, spans string")
 
 
-def sanitised(docs: DataFrame, *, text_col: str = "text", min_contexts: int = MIN_CONTEXTS, open_bits: float = OPEN_BITS) -> DataFrame:
+def sanitised(docs: DataFrame, *, text_col: str = "text", min_contexts: int = MIN_CONTEXTS, disclosed: float = DISCLOSED) -> DataFrame:
     """``docs`` with entities and disclosing terms replaced in the text; texts without any, and null, stay as they are."""
     tune(docs.sparkSession)
     others = [c for c in docs.columns if c != text_col]
     marked = docs.withColumn("__null", F.col(text_col).isNull())
     found = _analysed(marked, text_col, [f"`{c}`" for c in others] + ["__null"], whole=True)
-    risky = disclosing(found, docs, text_col, min_contexts=min_contexts, open_bits=open_bits)
+    risky = disclosing(found, docs, text_col, min_contexts=min_contexts, disclosed=disclosed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):

@@ -238,6 +238,40 @@ def test_quality(spark, odd, docs, empty):
     assert quality.good_only(odd, labels).columns == odd.columns
 
 
+def test_discriminant_is_the_formula(spark):
+    """Densities by determinants and inverse matrices, without Cholesky factors or sums of products."""
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    label = {r.doc_id: r.quality for r in marks.collect()}
+    texts = {r.doc_id: r.text or "" for r in big.select("doc_id", "text").collect()}
+    x = {i: quality.statistics(t) for i, t in texts.items()}
+    learn = [i for i in texts if label.get(i) in (0, 1) and zlib.crc32(str(i).encode()) % 5]
+    part = {c: np.array([x[i] for i in learn if label[i] == c]) for c in (0, 1)}
+    each = {c: np.cov(p.T, bias=True) for c, p in part.items()}
+    pooled = sum(len(p) * each[c] for c, p in part.items()) / len(learn)
+    logs = {}
+    for c, p in part.items():
+        s = (1 - quality.SHRINK_POOLED) * each[c] + quality.SHRINK_POOLED * pooled
+        s = (1 - quality.SHRINK_DIAGONAL) * s + quality.SHRINK_DIAGONAL * np.diag(np.diag(s))
+        s += np.diag(1e-3 * np.diag(pooled) + 1e-6)
+        logs[c] = {i: -0.5 * ((v - p.mean(axis=0)) @ np.linalg.inv(s) @ (v - p.mean(axis=0)) + np.linalg.slogdet(s)[1]) for i, v in x.items()}
+    prior = (len(part[1]) + 1) / (len(learn) + 2)
+    got = {r.doc_id: r.score for r in quality.quality(big, marks).collect()}
+    for i, t in texts.items():
+        n = len(t.encode())
+        odds = (logs[1][i] - logs[0][i]) / quality.TEMPER * n / (n + quality.HALF_WEIGHT) + np.log(prior / (1 - prior))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(odds, -500, 500))), abs=1e-6)
+
+    def auc(score):
+        held = [i for i in texts if label.get(i) in (0, 1) and i not in set(learn)]
+        good, bad = ([score[i] for i in held if label[i] == c] for c in (1, 0))
+        return np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+
+    raw = {i: logs[1][i] - logs[0][i] for i in texts}
+    print("AUC of scores and of log-density differences:", auc(got), auc(raw))
+    assert auc(got) > 0.97 and auc(raw) > 0.9
+
+
 def test_packing(odd, docs, empty):
     t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     odd = odd.union(odd.where("doc_id = 7").withColumns({"doc_id": F.lit(70), "text": F.lit("A <|endoftext|> b<|startoftext|>c <|ENDOFTEXT|> don't<|endoftext|>'s")}))
@@ -328,6 +362,24 @@ def test_top_k(spark):
     assert [x.vec_id for x in few] == [101]
 
 
+def test_top_k_of_huge_and_clustered_vectors(spark):
+    r = random.Random(12)
+    rows = [(i, [1e30 * r.choice([-1, 1]), float(r.randrange(9))]) for i in range(40)] + [(i, [float(r.randrange(-3, 4)), 2.0]) for i in range(40, 320)]
+    rows += [(i, [0.25, 0.25]) for i in range(320, 500)] + [(500, [1.7e308, 0.0])]  # copies of one vector, and one beyond the range
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    good = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i < 500]
+    want = set()
+    for i, q in good:
+        if i % 20 == 0:
+            score = lambda v: max(-(2**63), min(2**63 - 1, sum(map(int.__mul__, q, v))))  # noqa: B023, E731
+            want |= {(i, n + 1, j, -x) for n, (x, j) in enumerate(sorted((-score(v), j) for j, v in good if j != i)[:10])}
+    assert {tuple(x) for x in topk.top_k(frame, F.col("vec_id") % 20 == 0, shard_rows=32).collect()} == want
+    # Boxes apart leave out most shards.
+    cells = topk.Cells(np.array([[x, y] for x in range(32) for y in range(32)], float), 16)
+    of = cells.of(np.array([[x, y] for x in range(32) for y in range(32)], float))
+    assert cells.count == 16 and set(Counter(of.tolist()).values()) == {64}
+
+
 def components_of(texts, n, percent):
     sets = {}
     for i, t in texts:
@@ -455,6 +507,61 @@ def test_terms_of_rare_entities(spark):
     assert all(clean[i] == t for i, t in rows[13:])
 
 
+def plain_terms(texts):
+    """For each text the term spans, by counting in plain loops."""
+    kinds = pii.KINDS
+    bare, spans, words = [], [], []
+    for t in texts:
+        base, chars = base_entities(t), list(t)
+        for a, _, b in base:
+            chars[a:b] = " " * (b - a)
+        spans.append(base)
+        bare.append("".join(chars))
+        words.append([(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]{3,}", bare[-1])])
+    near, holds, df = defaultdict(set), defaultdict(set), defaultdict(set)
+    of = defaultdict(set)
+    for i, (t, base) in enumerate(zip(texts, spans, strict=True)):
+        for m in re.finditer(r"[^\W\d_]{3,}", t.lower()):
+            df[m.group()].add(t)
+        for a, k, b in base:
+            f = t[a:b].lower() if k == 0 else re.sub("[^0-9.]" if k == 1 else "[^0-9]", "", t[a:b])
+            beside = [w for _, e, w in words[i] if e <= a][-8:] + [w for s, _, w in words[i] if s >= b][:8]
+            for key in (kinds[k], f"{kinds[k]}:{f}"):
+                holds[key].add(t)
+                for w in beside:
+                    near[key, w].add(t)
+            of[i].add(f"{kinds[k]}:{f}")
+    total = len(set(texts))
+
+    def discloses(key, w):
+        c, n, d = len(near[key, w]), len(holds[key]), len(df[w])
+        p = min(c / d, 1) if c >= 3 else c / (d + 0.5) if 2 * c >= n else 0
+        return c > 0 and p > 0 and n < total and np.log2(p * total / n) >= 0.9 * np.log2(total / n)
+
+    out = []
+    for i, base in enumerate(spans):
+        risky = {w for (key, w) in near if key in of[i] and (discloses(key, w) or discloses(key.split(":")[0], w))}
+        inside = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", texts[i]) if m.group().lower() in risky]
+        out.append({f"term:{s}:{e}" for s, e in inside if not any(a < e and s < b for a, _, b in base)})
+    return out
+
+
+def test_terms_against_plain_counts(spark, docs):
+    r = random.Random(13)
+    names = ["Aldara", "Brontis", "Cyrene", "Dorvald", "the", "office", "writes", "calls", "Zanzibarian", "and", "from", "ate"]
+    texts = [x.text or "" for x in docs.select("text").collect()]
+    for i in range(150):
+        own = [r.choice(names) for _ in range(r.randrange(4, 30))]
+        if i % 2:
+            own.insert(r.randrange(len(own)), f"{r.choice('abc')}{i % 11}@x.org" + " 1" * r.choice([0, 300]))
+        texts.append(" ".join(own))
+    texts += texts[-20:]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: {s for s in x.spans.split(",") if s.startswith("term")} for x in pii.scan(frame).collect()}
+    want = plain_terms(texts)
+    assert sum(map(len, want)) > 20 and [got[i] for i in range(len(texts))] == want
+
+
 def test_spark_hash(spark):
     words = ["", "a", "éclair", "word" * 20]
     got = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()
