@@ -1,7 +1,6 @@
 """Whole-set operations on single-interval regions: flat columns region_id, label, chrom, strand, start, stop inside.
 
-Windows run by chromosome (and strand).  A chromosome's rows are cut into tiles where one chromosome may hold
-most rows: ``link`` and ``inv`` merge within tiles before the runs of tiles meet.
+Windows run by chromosome (and strand), one task for each.
 """
 
 from __future__ import annotations
