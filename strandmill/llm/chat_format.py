@@ -45,24 +45,26 @@ def said(text: Column) -> Column:
 
 
 def rotate(turns: DataFrame, *, fixed: tuple[str, ...] = ("system",), part_chars: int = PART_CHARS) -> DataFrame:
-    spoken = turns.select("conv_id", "turn", speaker(F.col("role")).alias("role"), said(F.col("text")).alias("text"))
-    speakers = spoken.where(~F.col("role").isin(*fixed)).groupBy(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).agg(F.lit(1).alias("one")).drop("one")
-    every = spoken.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    # ``id`` is conv_id without nulls, so that joins and windows deal rows by the same keys; what can be derived isn't shuffled.
+    key = F.when(F.col("conv_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string")))
+    tile = F.coalesce(F.shiftright(F.col("turn").cast("long"), TILE_BITS), F.lit(-(1 << 62)))
+    spoken = turns.select(key.alias("id"), "conv_id", "turn", tile.alias("tile"), speaker(F.col("role")).alias("role"), said(F.col("text")).alias("text"))
+    speakers = spoken.where(~F.col("role").isin(*fixed)).select("id", F.col("role").alias("perspective")).distinct()
+    every = spoken.join(speakers, "id")
     mine = F.col("role") == F.col("perspective")
     head = F.when(F.col("role").isin(*fixed), F.concat(F.lit("<|im_start|>"), "role", F.lit("\n")))
     head = head.when(mine, F.lit("<|im_start|>assistant\n")).otherwise(F.concat(F.lit("<|im_start|>user name="), "role", F.lit("\n")))
     body = F.concat("text", F.lit("<|im_end|>"))
-    tile = F.coalesce(F.shiftright(F.col("turn").cast("long"), TILE_BITS), F.lit(-(1 << 62)))
-    rendered = every.select("conv_id", "perspective", "turn", "role", "text", mine.alias("mine"), head.alias("head"), body.alias("body"), tile.alias("tile"))
-    rendered = rendered.withColumn("size", (F.length("head") + F.length("body") + 1).cast("long"))
+    size = (F.length(head) + F.length(body) + 1).cast("long")
     # Where a turn starts: sums within tiles of turns, and over the tiles' sums, so that no task orders a whole conversation.
-    tiles = rendered.groupBy("conv_id", "perspective", "tile").agg(F.sum("size").alias("total"))
-    before = F.sum("total").over(W.partitionBy("conv_id", "perspective").orderBy("tile")) - F.col("total")
-    tiles = tiles.select(F.struct("conv_id", "perspective", "tile").alias("key"), before.alias("before"))
-    order = W.partitionBy("conv_id", "perspective", "tile").orderBy("turn", "role", "text")
-    inside = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
-    placed = rendered.withColumn("inside", inside).join(tiles, F.struct("conv_id", "perspective", "tile").eqNullSafe(F.col("key")))
+    within = ["id", "perspective", "tile"]
+    tiles = every.groupBy(*within).agg(F.sum(size).alias("total"))
+    before = F.sum("total").over(W.partitionBy("id", "perspective").orderBy("tile")) - F.col("total")
+    order = W.partitionBy(*within).orderBy("turn", "role", "text")
+    inside = F.sum(size).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - size
+    placed = every.withColumn("inside", inside).join(tiles.select(*within, before.alias("before")), within)
     placed = placed.withColumn("at", F.col("before") + F.col("inside")).withColumn("part", F.floor(F.col("at") / part_chars).cast("int"))
+    placed = placed.select("conv_id", "perspective", "part", "at", head.alias("head"), body.alias("body"), mine.alias("mine"))
     turn = F.struct("at", F.concat("head", "body", F.lit("\n")).alias("said"), "mine", F.length("head").alias("n_head"), F.length("body").alias("n_body"))
     parts = placed.groupBy("conv_id", "perspective", "part").agg(F.min("at").alias("start"), F.count("*").alias("n_turns"), F.sort_array(F.collect_list(turn)).alias("t"))
     mask = F.transform(F.filter("t", lambda x: x["mine"]), lambda x: F.struct((x["at"] + x["n_head"] - F.col("start")).alias("start"), (x["at"] + x["n_head"] + x["n_body"] - F.col("start")).alias("end")))
