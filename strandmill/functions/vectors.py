@@ -48,3 +48,42 @@ def log_of(x: str) -> str:
 def over(a: str, b: str) -> str:
     """Division as floating point has it: by zero an infinity or NaN."""
     return f"CASE WHEN {b} <> 0 OR isnan({b}) THEN {a} / {b} WHEN {a} = 0 OR isnan({a}) THEN double('NaN') WHEN {a} > 0 THEN double('Infinity') ELSE double('-Infinity') END"
+
+
+_SUM = "aggregate({0}, 0D, (s, x) -> s + x)".format
+_ZIP = "zip_with(w.a, w.b, (x, y) -> {0})".format
+_E = "aggregate(z, 0D, (s, p) -> s + {0}) / size(z)".format
+_MOMENTS = f"named_struct('x', {_E('p.x')}, 'y', {_E('p.y')}, 'xx', {_E('p.x * p.x')}, 'yy', {_E('p.y * p.y')}, 'xy', {_E('p.x * p.y')})"
+_PEARSON = once(_MOMENTS, "m", "try_divide(m.xy - m.x * m.y, sqrt((m.xx - m.x * m.x) * (m.yy - m.y * m.y)))")
+_BOTH = f"filter({_ZIP("named_struct('x', x, 'y', y)")}, p -> p.x IS NOT NULL AND p.y IS NOT NULL AND NOT isnan(p.x) AND NOT isnan(p.y))"
+
+#: Relations of two lists of one length, as SQL over w.a and w.b.
+RELATIONS = {
+    "inner": _SUM(_ZIP("x * y")),
+    "covariance": f"try_divide({_SUM(_ZIP('x * y'))}, size(w.a))",
+    "euclid": f"sqrt({_SUM(_ZIP('(x - y) * (x - y)'))})",
+    "pearson": once(_BOTH, "z", f"CASE WHEN size(z) > 0 THEN {_PEARSON} END"),
+    "relative_entropy": once(f"named_struct('n', {_SUM('w.a')}, 'm', {_SUM('w.b')})", "t", _SUM(_ZIP("CASE WHEN x > 0 THEN x / t.n * log2(x / t.n / (y / t.m)) ELSE 0D END"))),
+    "chi2": f"sqrt({_SUM(_ZIP('try_divide((x - y) * (x - y), y)'))})",
+    "hamming": _SUM(_ZIP("CASE WHEN x <=> y THEN 0D ELSE 1D END")),
+    "jaccard": "try_divide(size(array_intersect(w.a, w.b)), size(array_union(w.a, w.b)))",
+}
+
+
+def relation(name: str, a: str = "a", b: str = "b") -> str:
+    """SQL for the relation ``name`` of the lists ``a`` and ``b``.
+
+    Covariance is the mean product, not centred; in ``pearson`` positions where either is null or NaN don't count.
+    """
+    return once(f"named_struct('a', {a}, 'b', {b})", "w", RELATIONS[name])
+
+
+def histogram(bins: int) -> str:
+    """Counts of the present values of ``v`` in ``bins`` equal parts of their range; the greatest is in the last."""
+    at = f"CASE WHEN c.hi > c.lo THEN least(cast(floor({bins} * (x - c.lo) / (c.hi - c.lo)) as int), {bins - 1}) ELSE 0 END"
+    return once(f"named_struct('v', {CLEAN}, 'lo', array_min({CLEAN}), 'hi', array_max({CLEAN}))", "c", f"transform(sequence(0, {bins - 1}), k -> size(filter(c.v, x -> {at} = k)))")
+
+
+def entropy(bins: int) -> str:
+    """Entropy of the histogram as a share of that of ``bins`` equal parts."""
+    return once(histogram(bins), "h", once("aggregate(h, 0D, (s, x) -> s + x)", "n", f"aggregate(filter(h, x -> x > 0), 0D, (s, x) -> s - x / n * ln(x / n)) / ln({bins})"))

@@ -13,19 +13,23 @@ def _members(rows: DataFrame) -> DataFrame:
     return rows.select("label", "value", "total", F.explode(F.array_distinct("categories")).alias("category"))
 
 
-def statistic(rows: DataFrame, how: str, *, least=10, most=None, under=False, approx=False, totals=True) -> DataFrame:
-    """category, size, y for categories with ``least`` to ``most`` members.
+#: The sums that all statistics are made of; ``r`` is of a category alone.
+_SUMS = ("n", "v", "d", "z", "zz", "k", "r")
 
-    how: sum, n, sens, spec, ratio, t or corr.  ``under`` asks for depletion; ``approx`` gives tail
-    probabilities where they are defined; ``totals`` weighs values by their totals.
-    """
+
+def _sums(under: bool, totals: bool) -> list:
+    z, d = ("value / total", "total") if totals else ("value", "1D")
     hit = "value < 0" if under else "value > 0"
-    z = "value / total" if totals else "value"
-    d = "total" if totals else "1D"
-    sums = [F.count("*").alias("n"), F.sum("value").alias("v"), F.sum(F.expr(d)).alias("d"), F.sum(F.expr(z)).alias("z"), F.sum(F.expr(f"({z}) * ({z})")).alias("zz"), F.sum(F.expr(f"CASE WHEN {hit} THEN 1L ELSE 0L END")).alias("k"), F.abs(F.corr("value", "total")).alias("r")]
-    inside = _members(rows).groupBy("category").agg(*sums).where(f"n >= {least}" + (f" AND n <= {most}" if most else ""))
-    every = rows.agg(*[s.alias(f"{c}_all") for s, c in zip(sums[:6], ("n", "v", "d", "z", "zz", "k"), strict=True)])
-    x = inside.join(F.broadcast(every))
+    return [F.count("*"), F.sum("value"), F.sum(F.expr(d)), F.sum(F.expr(z)), F.sum(F.expr(f"({z}) * ({z})")), F.sum(F.expr(f"CASE WHEN {hit} THEN 1L ELSE 0L END")), F.abs(F.corr("value", "total"))]
+
+
+def _every(rows: DataFrame, under: bool, totals: bool) -> DataFrame:
+    """One row: the sums over all rows."""
+    return rows.agg(*[s.alias(f"{c}_all") for s, c in zip(_sums(under, totals)[:6], _SUMS[:6], strict=True)])
+
+
+def _score(x: DataFrame, how: str, under: bool, approx: bool, totals: bool) -> DataFrame:
+    """With y, from the sums of a category and of all rows."""
     m1, m0 = "v / d", "(v_all - v) / (d_all - d)"
     s1, s0 = "(zz / n - pow(z / n, 2)) / n", "((zz_all - zz) / (n_all - n) - pow((z_all - z) / (n_all - n), 2)) / (n_all - n)"
     sign = "-" if under else ""
@@ -42,16 +46,26 @@ def statistic(rows: DataFrame, how: str, *, least=10, most=None, under=False, ap
         out = out.withColumn("y", t_q("y", df.cast("double")))
     elif approx and how == "corr":
         out = out.withColumn("y", 2 * t_q(F.expr("r * sqrt((n - 2) / (1 - r * r))"), F.expr("cast(n - 2 as double)")))
+    return out
+
+
+def statistic(rows: DataFrame, how: str, *, least=10, most=None, under=False, approx=False, totals=True) -> DataFrame:
+    """category, size, y for categories with ``least`` to ``most`` members.
+
+    how: sum, n, sens, spec, ratio, t or corr.  ``under`` asks for depletion; ``approx`` gives tail
+    probabilities where they are defined; ``totals`` weighs values by their totals.
+    """
+    inside = _members(rows).groupBy("category").agg(*[s.alias(c) for s, c in zip(_sums(under, totals), _SUMS, strict=True)])
+    inside = inside.where(f"n >= {least}" + (f" AND n <= {most}" if most else ""))
+    out = _score(inside.join(F.broadcast(_every(rows, under, totals))), how, under, approx, totals)
     return out.select("category", F.col("n").alias("size"), "y")
 
 
-def empirical(rows: DataFrame, how: str, *, permutations=100, seed=0, **options) -> DataFrame:
-    """category, size, y, p: the share of permutations whose statistic is at least as large.
+def _dealt(rows: DataFrame, how: str, permutations: int, seed: int, under: bool, approx: bool, totals: bool) -> DataFrame:
+    """perm, category, y0: the statistic where values are dealt to labels by the order of a hash.
 
-    A permutation deals values to labels by the order of a hash; ranks are counted in tiles of the hash, so no
-    task orders all labels of a permutation.
+    Ranks are counted in tiles of the hash, so no task orders all labels of a permutation.
     """
-    observed = statistic(rows, how, **options)
     spark = rows.sparkSession
     every = rows.select("label", "value", "total", "categories").crossJoin(F.broadcast(spark.range(permutations).withColumnRenamed("id", "perm")))
 
@@ -64,16 +78,40 @@ def empirical(rows: DataFrame, how: str, *, permutations=100, seed=0, **options)
 
     to = ranked(every, F.xxhash64("label", F.lit(seed)), ["label", "categories"])
     by = ranked(every, F.xxhash64("label", "perm", F.lit(seed + 1)), ["value", "total"])
-    dealt = to.join(by, ["perm", "nr"])
-    inside = dealt.select("perm", "value", "total", F.explode(F.array_distinct("categories")).alias("category"))
-    runs = inside.groupBy("perm", "category").agg(F.count("*").alias("n"), F.sum("value").alias("v"), F.sum("total").alias("d"), F.sum((F.col("value") > 0).cast("long")).alias("k"))
-    totals = rows.agg(F.count("*").alias("n_all"), F.sum("value").alias("v_all"), F.sum("total").alias("d_all"), F.sum((F.col("value") > 0).cast("long")).alias("k_all"))
-    formula = {"sum": "try_divide(v, d)", "n": "cast(k as double)", "sens": "try_divide(k, n)", "spec": "try_divide(k, k_all)", "ratio": "try_divide(v / d, (v_all - v) / (d_all - d))"}[how]
-    y = runs.join(F.broadcast(totals)).select("category", F.expr(formula).alias("y0"))
-    share = y.join(observed, "category").groupBy("category").agg((F.sum((F.col("y0") >= F.col("y")).cast("long")) / permutations).alias("p"))
+    inside = to.join(by, ["perm", "nr"]).select("perm", "value", "total", F.explode(F.array_distinct("categories")).alias("category"))
+    runs = inside.groupBy("perm", "category").agg(*[s.alias(c) for s, c in zip(_sums(under, totals), _SUMS, strict=True)])
+    out = _score(runs.join(F.broadcast(_every(rows, under, totals))), how, under, approx, totals)
+    return out.select("perm", "category", F.col("y").alias("y0"))
+
+
+def empirical(rows: DataFrame, how: str, *, permutations=100, seed=0, least=10, most=None, under=False, totals=True) -> DataFrame:
+    """category, size, y, p: the share of permutations whose statistic is at least as large; of every ``how``."""
+    observed = statistic(rows, how, least=least, most=most, under=under, totals=totals)
+    y = _dealt(rows, how, permutations, seed, under, False, totals)
+    share = y.join(observed, "category").groupBy("category").agg((F.sum(F.when(F.col("y0") >= F.col("y"), 1).otherwise(0)) / permutations).alias("p"))
     return observed.join(share, "category")
 
 
+def permuted_fdr(rows: DataFrame, how: str, *, permutations=100, seed=0, least=10, most=None, under=False, totals=True) -> DataFrame:
+    """category, size, p, fdr: tail probabilities (n, t or corr) against those of permuted values.
+
+    ``fdr``: how many categories of a permutation have such a p or less, on average, over the rank of p; from the largest
+    p down it doesn't rise.  Permuted values are counted first, then in tiles of p; categories are ranked in one window.
+    """
+    observed = statistic(rows, how, least=least, most=most, under=under, approx=True, totals=totals).withColumnRenamed("y", "p").where("p IS NOT NULL")
+    chance = _dealt(rows, how, permutations, seed, under, True, totals).join(observed.select("category"), "category", "left_semi")
+    chance = chance.where("y0 IS NOT NULL").groupBy(F.col("y0").alias("p")).agg(F.count("*").alias("c"))
+    both = observed.select("category", "p", F.lit(0).cast("long").alias("c")).union(chance.select(F.lit(None).cast("string"), "p", "c"))
+    both = both.withColumn("tile", F.floor(F.least(F.col("p"), F.lit(1.0)) * 1024).cast("int"))
+    before = both.groupBy("tile").agg(F.sum("c").alias("t")).select("tile", (F.sum("t").over(W.orderBy("tile")) - F.col("t")).alias("before"))
+    inside = F.sum("c").over(W.partitionBy("tile").orderBy("p").rangeBetween(W.unboundedPreceding, 0))
+    counted = both.withColumn("inside", inside).join(before, "tile").where("category IS NOT NULL").select("category", (F.col("before") + F.col("inside")).alias("c"))
+    ranked = observed.join(counted, "category").withColumn("nr", F.row_number().over(W.orderBy("p", "category")))
+    raw = F.col("c") / permutations / F.col("nr")
+    down = W.orderBy(F.desc("nr")).rowsBetween(W.unboundedPreceding, 0)
+    return ranked.select("category", "size", "p", F.min(raw).over(down).alias("fdr"))
+
+
 def adjusted(tested: DataFrame, p: str = "p") -> DataFrame:
     """With ``fdr`` (Benjamini and Hochberg) and ``q``: q of the least p is 0, then (c + 1) F[c] - c F[c - 1], monotone, at most 1.
 

@@ -142,3 +142,9 @@ def pair_dist(pairs, ref, **how):
 def per_test_count(test, ref, **how):
     """Reference regions that each test region meets (those that meet any)."""
     return interval_join(test, ref, **how).groupBy(F.col("t.region_id").alias("region_id")).agg(F.count("*").alias("hits"))
+
+
+def per_test_coverage(test, ref, **how):
+    """Bases that each test region shares with reference regions, summed over all that it meets."""
+    shared = "aggregate(t.iv, 0L, (s, x) -> s + aggregate(r.iv, 0L, (u, y) -> u + greatest(0L, least(x.stop, y.stop) - greatest(x.start, y.start) + 1)))"
+    return interval_join(test, ref, **how).selectExpr("t.region_id", f"{shared} AS shared").groupBy("region_id").agg(F.sum("shared").alias("coverage"))

@@ -219,3 +219,20 @@ def rc(df, genome):
     lengths = genome.agg(F.map_from_entries(F.collect_list(F.struct("chrom", "length"))).alias("lengths"))
     m = "lengths[x.chrom] + 1"
     return _put(df.join(F.broadcast(lengths)), each(f"CASE WHEN x.strand = '-' THEN {m} - x.stop ELSE x.start END", f"CASE WHEN x.strand = '-' THEN {m} - x.start ELSE x.stop END")).drop("lengths")
+
+
+def meet(df, other="other"):
+    """What the intervals share with those of ``other`` (a column of intervals), pair by pair, on equal chromosome and strand."""
+    both = each(f"greatest(x.start, {other}[j].start)", f"least(x.stop, {other}[j].stop)", over=f"filter(iv, x -> x.chrom = {other}[j].chrom AND x.strand = {other}[j].strand)")
+    met = f"filter(flatten(transform(sequence(0, size({other}) - 1), j -> {both})), x -> x.start <= x.stop)"
+    return _put(df.where(f"size({other}) > 0"), SORTED.replace("array_sort(iv,", f"array_sort({met},"))
+
+
+def clip(df, other="other"):
+    """Every interval cut to the span from the first start to the last stop of ``other``."""
+    return _put(df, f"filter({each(f'greatest(x.start, {other}[0].start)', f'least(x.stop, element_at({other}, -1).stop)')}, x -> x.start <= x.stop)")
+
+
+def between(df, other="other"):
+    """From behind the first interval of ``other`` to before the region's own first: one interval, which may be empty (start after stop)."""
+    return df.withColumn("label", F.lit("_")).withColumn("iv", F.expr(each(f"{other}[0].stop + 1", "x.start - 1", over="slice(iv, 1, 1)")))

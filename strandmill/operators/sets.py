@@ -1,6 +1,7 @@
 """Whole-set operations on single-interval regions: flat columns region_id, label, chrom, strand, start, stop inside.
 
-Windows run by chromosome (and strand), one task for each.
+Windows run by tiles of chromosome (and strand): what a tile needs of those before or behind it is one row for each
+tile, so that work spreads over as many tasks as there are tiles.
 """
 
 from __future__ import annotations
@@ -31,13 +32,41 @@ def _key(by_strand: bool) -> list[str]:
     return ["chrom", "strand"] if by_strand else ["chrom"]
 
 
+#: Positions in a tile, as a power of two; a chromosome has a few thousand tiles.
+TILE = 16
+
+
+def _neighbour(rows: DataFrame, key: list[str], order: list, values: list[str], name: str, *, ahead: bool = False) -> DataFrame:
+    """With ``name``: ``values`` (a struct) of the row before, or ``ahead`` of the row behind, by ``order``, which starts with ``tile``'s column."""
+    at, pick = [*key, "tile"], F.struct(*values)
+    step, edge = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
+    inside = rows.withColumn(name, step(pick).over(W.partitionBy(*at).orderBy(*order)))
+    ends = rows.groupBy(*at).agg(edge(pick, F.struct(*order)).alias("end"))
+    ends = ends.select(*at, step("end").over(W.partitionBy(*key).orderBy("tile")).alias("end"))
+    return inside.join(ends, at).withColumn(name, F.coalesce(name, "end")).drop("end")
+
+
+def _tiled(rows: DataFrame, at: str = "start") -> DataFrame:
+    return rows.withColumn("tile", F.shiftright(at, TILE))
+
+
+def _runs(rows: DataFrame, key: list[str], distance: int) -> DataFrame:
+    """With ``run``: equal, within a key, for rows that link."""
+    rows, tile = _tiled(rows), [*key, "tile"]
+    earlier = W.partitionBy(*key).orderBy("tile").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy(*tile).orderBy("start", "stop", "region_id")
+    tops = rows.groupBy(*tile).agg(F.max("stop").alias("top")).select(*tile, F.max("top").over(earlier).alias("top"))
+    reach = F.greatest(F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1)), "top")
+    runs = rows.join(tops, tile).withColumn("new", F.when(F.col("start") - reach <= distance, 0).otherwise(1))
+    begun = runs.groupBy(*tile).agg(F.sum("new").alias("begun")).select(*tile, F.coalesce(F.sum("begun").over(earlier), F.lit(0)).alias("begun"))
+    runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).join(begun, tile)
+    return runs.withColumn("run", F.col("run") + F.col("begun")).drop("tile", "top", "new", "begun")
+
+
 def link(df: DataFrame, *, distance=0, by_strand=True, label=None, delimiter=",") -> DataFrame:
     """Runs of regions whose start is at most ``distance`` after the greatest stop before; label: None, min, max, sum or join."""
-    rows, key = _single(df), _key(by_strand)
-    order = W.partitionBy(*key).orderBy("start", "stop", "region_id")
-    reach = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
-    runs = rows.withColumn("new", F.when(F.col("start") - reach <= distance, 0).otherwise(1))
-    runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    key = _key(by_strand)
+    runs = _runs(_single(df), key, distance)
     number = F.coalesce(F.col("label").try_cast("double"), F.lit(0.0))
     name = {None: F.lit("_"), "min": F.min(number).cast("string"), "max": F.max(number).cast("string"), "sum": F.sum(number).cast("string")}.get(label)
     if label == "join":
@@ -48,11 +77,10 @@ def link(df: DataFrame, *, distance=0, by_strand=True, label=None, delimiter=","
 
 def inv(df: DataFrame, genome: DataFrame, *, compat=False) -> DataFrame:
     """What no region covers, by chromosome and strand with regions; ``compat`` loses a last gap of one position."""
-    merged = flat(link(df)).drop("iv").join(F.broadcast(genome), "chrom")  # a row for each chromosome
-    order = W.partitionBy("chrom", "strand").orderBy("start")
-    prev = F.coalesce(F.lag("stop").over(order), F.lit(0))
-    last = F.lead("start").over(order).isNull()
-    gaps = merged.withColumns({"from": prev + 1, "to": F.col("start") - 1, "last": last})
+    key, merged = ["chrom", "strand"], _tiled(flat(link(df)).drop("iv"))
+    behind = merged.groupBy(*key).agg(F.max("stop").alias("final")).join(F.broadcast(genome), "chrom")  # a row for each chromosome and strand
+    gaps = _neighbour(merged, key, ["start"], ["stop"], "before").join(F.broadcast(behind), key)
+    gaps = gaps.withColumns({"from": F.coalesce("before.stop", F.lit(0)) + 1, "to": F.col("start") - 1, "last": F.col("stop") == F.col("final")})
     tail = "length - stop > 1" if compat else "length > stop"
     both = F.expr(f"concat(array(struct(from AS start, least(to, length) AS stop)), CASE WHEN last AND {tail} THEN array(struct(stop + 1 AS start, length AS stop)) ELSE array() END)")
     out = gaps.select("chrom", "strand", F.explode(both).alias("g")).select("chrom", "strand", "g.*").where("start <= stop")
@@ -62,16 +90,16 @@ def inv(df: DataFrame, genome: DataFrame, *, compat=False) -> DataFrame:
 def gdist(df: DataFrame, *, op1="1", op2="1") -> DataFrame:
     """Distance of each region from the one before, in order; NaN where chromosome or strand changes.
 
-    Windows run by chromosome and strand; the first row of each group takes its predecessor from the groups' ends.
+    The first row of a chromosome and strand takes its predecessor from the groups' ends.
     """
     at = {"1": "start", "2": "stop", "5p": "CASE WHEN strand = '+' THEN start ELSE stop END", "3p": "CASE WHEN strand = '+' THEN stop ELSE start END"}
-    rows = _single(df).selectExpr("*", f"{at[op1]} AS p1", f"{at[op2]} AS p2")
-    inner = W.partitionBy("chrom", "strand").orderBy("start", F.desc("stop"), "region_id")
-    rows = rows.withColumns({"prev": F.lag("p1").over(inner), "prev_id": F.lag("region_id").over(inner)})
-    ends = rows.groupBy("chrom", "strand").agg(F.max_by("region_id", F.struct("start", -F.col("stop"), "region_id")).alias("end_id"))
+    rows = _tiled(_single(df)).selectExpr("*", f"{at[op1]} AS p1", f"{at[op2]} AS p2", "-stop AS down")
+    key, order = ["chrom", "strand"], ["start", "down", "region_id"]
+    rows = _neighbour(rows, key, order, ["p1", "region_id"], "before")
+    ends = rows.groupBy(*key).agg(F.max_by("region_id", F.struct(*order)).alias("end_id"))
     ends = ends.withColumn("prev_end", F.lag("end_id").over(W.orderBy("chrom", "strand")))  # a row for each chromosome and strand
-    out = rows.join(F.broadcast(ends.select("chrom", "strand", "prev_end")), ["chrom", "strand"])
-    out = out.select(F.coalesce("prev_id", "prev_end").alias("prev_id"), "region_id", F.when(F.col("prev").isNotNull(), (F.col("p2") - F.col("prev")).cast("double")).otherwise(F.lit(float("nan"))).alias("distance"))
+    out = rows.join(F.broadcast(ends.select(*key, "prev_end")), key)
+    out = out.select(F.coalesce("before.region_id", "prev_end").alias("prev_id"), "region_id", F.when(F.col("before").isNotNull(), (F.col("p2") - F.col("before.p1")).cast("double")).otherwise(F.lit(float("nan"))).alias("distance"))
     return out.where("prev_id IS NOT NULL")
 
 
@@ -114,8 +142,8 @@ def partition(df: DataFrame, *, by_strand=True, delimiter=",", bits=None) -> Dat
     """Disjoint pieces between all ends of regions, with the labels of those that cover each."""
     rows, key = _single(df), ["chrom", "strand"]
     cuts = rows.selectExpr("chrom", "strand", "explode(array(start, stop + 1)) AS at").distinct()
-    w = W.partitionBy(*key).orderBy("at")
-    pieces = cuts.selectExpr("*").withColumn("stop", F.lead("at").over(w) - 1).where("stop IS NOT NULL")
+    pieces = _neighbour(_tiled(cuts, "at"), key, ["at"], ["at"], "behind", ahead=True)
+    pieces = pieces.withColumn("stop", F.col("behind.at") - 1).where("stop IS NOT NULL")
     pieces = _regions(pieces.select(F.xxhash64("chrom", "strand", "at").alias("region_id"), F.lit("_").alias("label"), "chrom", "strand", F.col("at").alias("start"), "stop"))
     met = interval_join(df.where("size(iv) = 1"), pieces, bits=bits)
     names = F.array_join(F.sort_array(F.collect_list("t.label")), delimiter)
@@ -129,17 +157,15 @@ def rev(df: DataFrame) -> DataFrame:
 
 def cluster(df: DataFrame) -> DataFrame:
     """Regions that overlap no earlier representative, by start: the greedy choice, run by run of overlapping regions."""
-    linked = link(df).withColumnRenamed("region_id", "run_id")
-    runs = flat(linked.withColumnRenamed("run_id", "region_id"))
-    met = interval_join(df.where("size(iv) = 1"), runs.select("region_id", "label", "iv"))
 
     def greedy(pdf):
-        out, last = [], {}
+        out, last = [], None
         for r in pdf.sort_values(["start", "stop", "region_id"]).itertuples():
-            if r.start > last.get(r.strand, -1):
+            if last is None or r.start > last:
                 out.append(r.region_id)
-                last[r.strand] = r.stop
+                last = r.stop
         return pdf[pdf["region_id"].isin(out)][["region_id"]]
 
-    chosen = met.selectExpr("t.region_id", "t.strand", "t.start", "t.stop", "r.region_id AS run").groupBy("run").applyInPandas(greedy, "region_id long")
+    runs = _runs(_single(df), ["chrom", "strand"], 0).select("region_id", "chrom", "strand", "start", "stop", "run")
+    chosen = runs.groupBy("chrom", "strand", "run").applyInPandas(greedy, "region_id long")
     return df.join(chosen, "region_id", "left_semi")
