@@ -13,14 +13,14 @@ def _members(rows: DataFrame) -> DataFrame:
     return rows.select("label", "value", "total", F.explode(F.array_distinct("categories")).alias("category"))
 
 
-#: The sums that all statistics are made of; ``r`` is of a category alone.
+#: The sums that all statistics are made of; ``r`` is of a category alone, and null where either side is constant.
 _SUMS = ("n", "v", "d", "z", "zz", "k", "r")
 
 
 def _sums(under: bool, totals: bool) -> list:
     z, d = ("value / total", "total") if totals else ("value", "1D")
     hit = "value < 0" if under else "value > 0"
-    return [F.count("*"), F.sum("value"), F.sum(F.expr(d)), F.sum(F.expr(z)), F.sum(F.expr(f"({z}) * ({z})")), F.sum(F.expr(f"CASE WHEN {hit} THEN 1L ELSE 0L END")), F.abs(F.corr("value", "total"))]
+    return [F.count("*"), F.sum("value"), F.sum(F.expr(d)), F.sum(F.expr(z)), F.sum(F.expr(f"({z}) * ({z})")), F.sum(F.expr(f"CASE WHEN {hit} THEN 1L ELSE 0L END")), F.abs(F.try_divide(F.covar_pop("value", "total"), F.stddev_pop("value") * F.stddev_pop("total")))]
 
 
 def _every(rows: DataFrame, under: bool, totals: bool) -> DataFrame:
@@ -45,7 +45,7 @@ def _score(x: DataFrame, how: str, under: bool, approx: bool, totals: bool) -> D
         df = F.floor(F.expr(f"pow({s1} + {s0}, 2) / (pow({s1}, 2) / (n - 1) + pow({s0}, 2) / (n_all - n - 1))"))
         out = out.withColumn("y", t_q("y", df.cast("double")))
     elif approx and how == "corr":
-        out = out.withColumn("y", 2 * t_q(F.expr("r * sqrt((n - 2) / (1 - r * r))"), F.expr("cast(n - 2 as double)")))
+        out = out.withColumn("y", 2 * t_q(F.expr("r * sqrt(try_divide(n - 2, 1 - r * r))"), F.expr("cast(n - 2 as double)")))
     return out
 
 

@@ -1,19 +1,22 @@
 """Readers and writers of region formats, as DataFrames of lines.
 
-Coordinates of BED count from 0 on disk; inside all count from 1.  Row order comes from the file's name and the
-place of the line in it, so that input order survives.  A last line without a line feed is read; the CIGAR
+Coordinates of BED count from 0 on disk; inside all count from 1.  Rows are numbered as Spark deals files to
+partitions: in order within a file.  A last line without a line feed is read; the CIGAR
 operation '=' is accepted.  Malformed lines raise, unless ``strict`` is off, which drops them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandmill.functions.regions import INTERVAL
+from strandmill.sources.bam import BamSource
 
 SCHEMA = f"label string, iv array<{INTERVAL}>, seq string, bed struct<n_tokens:int,score:bigint,thick_start:bigint,thick_end:bigint,rgb:string>, sam struct<flag:int,mapq:int,cigar:array<struct<len:bigint,op:string>>,rnext:string,pnext:bigint,tlen:bigint,qual:string,optional:string>, gff struct<source:string,feature:string,score:string,frame:string,comment:string>"
 STRAND = {"1": "+", "+": "+", ".": "+", "-1": "-", "-": "-"}
@@ -121,10 +124,13 @@ PARSERS = {"REG": parse_reg, "BED": parse_bed, "SAM": parse_sam, "GFF": parse_gf
 def read_regions(spark: SparkSession, path: str, fmt: str | None = None, *, strict: bool = True) -> DataFrame:
     """region_id, label, iv and what the format has besides; ``path``: text, also gzipped.
 
-    The format is sniffed from the first data line, unless named.  SEQ records are two lines and read whole
-    by file; BAM needs conversion to SAM.
+    The format is sniffed from the first data line, unless named; BAM is told by its name's end.  SEQ records are
+    two lines and read whole by file.
     """
-    lines = spark.read.text(path)
+    if fmt == "BAM" or fmt is None and path.endswith(".bam"):
+        lines, fmt = read_bam(spark, path), "SAM"
+    else:
+        lines = spark.read.text(path)
     if fmt is None:
         first = lines.where("trim(value) <> '' AND NOT (value LIKE 'browser %' OR value LIKE 'track %' OR value LIKE '@%' OR value LIKE '##%')").first()
         fmt = sniff(first["value"]) if first else "REG"
@@ -158,6 +164,72 @@ def read_regions(spark: SparkSession, path: str, fmt: str | None = None, *, stri
     return parsed.select(F.monotonically_increasing_id().alias("region_id"), *fields)
 
 
+def read_bam(spark: SparkSession, path: str, split: int | None = None) -> DataFrame:
+    """value: the records of a BAM file, or of all of a folder, as lines of SAM."""
+    spark.dataSource.register(BamSource)
+    reader = spark.read.format("bam")
+    return (reader.option("split", split) if split else reader).load(path)
+
+
+def read_categories(spark: SparkSession, path: str, values: str | None = None) -> DataFrame:
+    """label, value, total, categories: label, a tab, one or two numbers, a tab, and keys by spaces.
+
+    With ``values``, the numbers stand in that file instead, a line for each line of ``path``.  The total is 1 where
+    there is one number; lines with none or with more than two raise.
+    """
+    number = "split(trim({0}), '[ \\\\t]+')".format
+    if values is None:
+        body = spark.read.text(path).where("trim(value) <> ''").selectExpr("split(value, '\\t') AS t")
+        body = body.selectExpr("t[0] AS label", f"{number('t[1]')} AS x", "coalesce(try_element_at(t, 3), '') AS keys")
+    else:
+        left, right = _numbered(spark, path), _numbered(spark, values)
+        # A missing partner raises below, as its numbers are null.
+        body = left.join(right.withColumnRenamed("value", "numbers"), "nr", "full").selectExpr("substring_index(value, '\\t', 1) AS label", f"{number('numbers')} AS x", "CASE WHEN instr(value, '\\t') > 0 THEN substring(value, instr(value, '\\t') + 1) ELSE '' END AS keys")
+    right_size = "label IS NOT NULL AND size(x) BETWEEN 1 AND 2 AND forall(x, y -> try_cast(y AS double) IS NOT NULL)"
+    checked = f"CASE WHEN coalesce({right_size}, false) THEN cast(x[0] AS double) ELSE raise_error(concat('one or two numbers are needed: ', coalesce(label, ''))) END AS value"
+    return body.selectExpr("label", checked, "coalesce(cast(try_element_at(x, 2) AS double), 1D) AS total", "filter(split(keys, ' +'), k -> k <> '') AS categories")
+
+
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """value and nr, the line's place in a file, from 0: lines are counted by partition, then in each."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("id")).withColumn("part", F.shiftright("id", 33))
+    before = (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("before")
+    parts = lines.groupBy("part").count().select("part", before)  # a row for each partition
+    return lines.join(F.broadcast(parts), "part").select((F.col("id").bitwiseAND((1 << 33) - 1) + F.col("before")).alias("nr"), "value")
+
+
+def read_matrix(spark: SparkSession, path: str, *, row_labels: bool | None = None, column_labels: bool | None = None, separator: str = " ") -> tuple[DataFrame, list[str] | None]:
+    """(row_id, label, v) and the labels of the columns.
+
+    A first line that starts with a tab has column labels, and a tab in the first line means row labels, unless told;
+    rows of another length, or with and without labels, raise.
+    """
+    lines = spark.read.text(path).where("value <> ''")
+    first = lines.first()
+    first = first["value"] if first else ""
+    heads = first.startswith("\t") if column_labels is None else column_labels
+    named = (separator == " " and "\t" in first) if row_labels is None else row_labels
+    cells = lambda t: [x for x in t.split(separator) if x != ""]
+    width = cells(first.split("\t", 1)[1] if named and "\t" in first else first)
+    if heads:
+        lines = lines.where(F.col("value") != first)
+    body = "substring(value, instr(value, '\t') + 1)" if named else "value"
+    out = lines.selectExpr("CASE WHEN instr(value, '\t') > 0 THEN substring_index(value, '\t', 1) END AS label", f"filter(split({body}, '{re.escape(separator)}'), x -> x <> '') AS t") if separator == " " or named else lines.selectExpr("cast(NULL AS string) AS label", f"filter(split(value, '{re.escape(separator)}'), x -> x <> '') AS t")
+    fits = f"size(t) = {len(width)}" + (f" AND label IS {'NOT ' if named else ''}NULL" if separator == " " else "")
+    value = f"CASE WHEN {fits} THEN transform(t, x -> cast(x AS double)) ELSE raise_error(concat('a row of {len(width)} values is needed: ', array_join(t, ' '))) END AS v"
+    return out.selectExpr("monotonically_increasing_id() AS row_id", "label", value), width if heads else None
+
+
+def read_chromosome_map(spark: SparkSession, folder: str, name: str, chunk: int = 65_536) -> DataFrame:
+    """chrom, chunk_no, seq, as ``read_fasta``: ``name`` lists chromosomes and their files in ``folder``, one sequence each, with or without a first line ``>...``."""
+    listed = spark.read.text(f"{folder}/{name}").where("trim(value) <> ''").selectExpr("split(trim(value), '[ \\t]+') AS t").selectExpr("t[0] AS chrom", "t[1] AS file")
+    files = sorted({r["file"] for r in listed.select("file").distinct().collect()})  # a file for each chromosome
+    text = spark.read.text([f"{folder}/{f}" for f in files], wholetext=True).selectExpr("value", "element_at(split(input_file_name(), '/'), -1) AS base")
+    seq = text.selectExpr("base", "regexp_replace(regexp_replace(value, '^>[^\\n]*\\n', ''), '\\\\s+', '') AS seq")
+    seq = listed.selectExpr("chrom", "element_at(split(file, '/'), -1) AS base").join(seq, "base")
+    return _chunks(seq, chunk)
+
+
 def read_bounds(spark: SparkSession, path: str) -> DataFrame:
     """chrom, length; different lengths of one chromosome raise."""
     one = read_regions(spark, path).selectExpr("iv[0].chrom AS chrom", "iv[0].stop AS length").groupBy("chrom").agg(F.max("length").alias("length"), F.min("length").alias("least"))
@@ -174,6 +246,10 @@ def read_fasta(spark: SparkSession, path: str, chunk: int = 65_536) -> DataFrame
     text = spark.read.text(path, wholetext=True)
     records = text.select(F.explode(F.expr("regexp_extract_all(value, '>[^>]*', 0)")).alias("r"))
     seq = records.selectExpr("split(substring_index(substring(r, 2), '\\n', 1), '\\\\s+')[0] AS chrom", "regexp_replace(substring(r, instr(r, '\\n') + 1), '\\\\s+', '') AS seq")
+    return _chunks(seq, chunk)
+
+
+def _chunks(seq: DataFrame, chunk: int) -> DataFrame:
     return seq.select("chrom", "seq", F.explode(F.expr(f"sequence(0L, greatest(length(seq) - 1, 0) div {chunk})")).alias("chunk_no")).selectExpr("chrom", "chunk_no", f"substring(seq, cast(chunk_no * {chunk} + 1 as int), {chunk}) AS seq")
 
 
@@ -195,7 +271,10 @@ def as_reg(df: DataFrame, compact: bool = False) -> DataFrame:
 
 
 def as_bed(df: DataFrame, *, color: str = "0,0,0", chr_prefix: bool = False, score: int = 1000) -> DataFrame:
-    """value: lines of BED, six columns for single intervals, twelve with blocks else; MT becomes chrM with ``chr_prefix``."""
+    """value: lines of BED, six columns for single intervals, twelve with blocks else; MT becomes chrM with ``chr_prefix``.
+
+    Every line has the same score and colour; ``as_read`` keeps those of regions from BED.
+    """
     chrom = "CASE WHEN iv[0].chrom = 'MT' THEN 'chrM' WHEN iv[0].chrom LIKE 'chr%' THEN iv[0].chrom ELSE concat('chr', iv[0].chrom) END" if chr_prefix else "iv[0].chrom"
     start, end = "array_min(transform(iv, x -> x.start)) - 1", "array_max(transform(iv, x -> x.stop))"
     head = f"{chrom}, {start}, {end}, label, {score}, iv[0].strand"
@@ -226,6 +305,23 @@ def as_sam(df: DataFrame) -> DataFrame:
     return df.selectExpr("region_id", f"concat_ws('\\t', label, {flag}, iv[0].chrom, iv[0].start, sam.mapq, {cigar}, sam.rnext, sam.pnext, sam.tlen, seq, sam.qual, nullif(sam.optional, '')) AS value")
 
 
+def track_lines(kind: str, title: str = "", *, color: str = "0,0,0", position: str = "", options: str = "") -> list[str]:
+    """The lines before those of ``kind`` (bed, wig or bedgraph): a browser's position and a track's title, where given."""
+    head = {"bed": f"track name='{title}' itemRgb=On visibility=1", "wig": f"track type=wiggle_0 name='{title}' color={color} {options}", "bedgraph": f"track type=bedGraph name='{title}' color={color} visibility=1"}[kind]
+    return ([f"browser position {position}"] if position else []) + ([head] if title else [])
+
+
+def as_read(df: DataFrame, *, color: str = "", chr_prefix: bool = False) -> DataFrame:
+    """value: regions that were read from BED, with as many columns as they were read with, and what these hold; ``color``, if given, for all."""
+    thick, blocks = ["bed.thick_start", "bed.thick_end"], "array_join(transform(iv, x -> {0}), ',')".format
+    chrom = "CASE WHEN iv[0].chrom = 'MT' THEN 'chrM' ELSE concat('chr', iv[0].chrom) END" if chr_prefix else "iv[0].chrom"
+    columns = [chrom, "iv[0].start - 1", "element_at(iv, -1).stop", "label", "bed.score", "iv[0].strand", *thick, f"'{color}'" if color else "bed.rgb", "size(iv)", blocks("x.stop - x.start + 1"), blocks("x.start - iv[0].start")]
+    texts = ", ".join(f"cast({c} AS string)" for c in columns)
+    # Seven columns are printed as six, ten and eleven as nine.
+    n = "CASE WHEN bed.n_tokens = 7 THEN 6 WHEN bed.n_tokens IN (10, 11) THEN 9 ELSE bed.n_tokens END"
+    return df.where("size(iv) > 0").selectExpr("region_id", f"array_join(slice(array({texts}), 1, {n}), '\t') AS value")
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("value").write.text(path)
 

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from strandmill.functions import vectors as vec_sql
 from strandmill.functions.regions import INTERVAL
 from strandmill.functions.tails import binomial_tail, poisson_draw, poisson_tail, t_tail
 from strandmill.operators import enrichment, hic, interval_join as joins, matrix, overlaps, profiles, regions, scans, sets, vectors
@@ -167,3 +168,82 @@ def test_one_region_as_long_as_its_chromosome(spark):
     want = Counter((i, j) for i, _, a in rows for j, _, b in rows if any(x[2] <= y[3] and x[3] >= y[2] for x in a for y in b))
     assert got == want
     assert joins._binned(joins.flat(frame), "t", ["chrom"], list(joins.LEVELS), None).count() < 402 * 12
+
+
+def test_tiles_agree_with_plain_windows(spark):
+    """Runs, gaps, predecessors and pieces over many tiles, with a region as long as its chromosome's first half."""
+    rng = random.Random(3)
+    rows = [(0, "l", "chr1", "+", 1, 1_500_000)] + [(i, "l", f"chr{rng.randrange(2)}", "+-"[rng.randrange(2)], s := rng.randrange(1, 3_000_000), s + rng.randrange(1, 9_000)) for i in range(1, 500)]
+    df = spark.createDataFrame(rows, "region_id long, label string, chrom string, strand string, start long, stop long")
+    df = df.selectExpr("region_id", "label", "array(named_struct('chrom', chrom, 'strand', strand, 'start', start, 'stop', stop)) AS iv")
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[2:4], []).append(r)
+    runs, gaps, dists, pieces, chosen = set(), set(), [], set(), set()
+    for key, g in groups.items():
+        merged = []
+        for r in sorted(g, key=lambda r: (r[4], r[5], r[0])):
+            if merged and r[4] <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], r[5])
+            else:
+                merged.append([r[4], r[5]])
+        runs |= {(*key, a, b) for a, b in merged}
+        edges = [0, *(x for m in merged for x in m), 4_000_001]
+        gaps |= {(*key, a + 1, b - 1) for a, b in zip(edges[::2], edges[1::2], strict=True) if a + 1 < b}
+        o = sorted(g, key=lambda r: (r[4], -r[5], r[0]))
+        dists += [(b[0], float(b[4] - a[4])) for a, b in zip(o, o[1:], strict=False)]
+        cuts = sorted({x for r in g for x in (r[4], r[5] + 1)})
+        pieces |= {(*key, a, b - 1) for a, b in zip(cuts, cuts[1:], strict=False) if any(r[4] <= a and b - 1 <= r[5] for r in g)}
+        last = 0
+        for r in sorted(g, key=lambda r: (r[4], r[5], r[0])):
+            if r[4] > last:
+                chosen.add(r[0])
+                last = r[5]
+    flat = lambda d: {(r.iv[0].chrom, r.iv[0].strand, r.iv[0].start, r.iv[0].stop) for r in d.collect()}
+    genome = spark.createDataFrame([("chr0", 4_000_000), ("chr1", 4_000_000)], "chrom string, length long")
+    assert flat(sets.link(df)) == runs and flat(sets.inv(df, genome)) == gaps and flat(sets.partition(df)) == pieces
+    assert sorted((r.region_id, r.distance) for r in sets.gdist(df).where("NOT isnan(distance)").collect()) == sorted(dists)
+    assert {r.region_id for r in sets.cluster(df).collect()} == chosen
+
+
+def test_shared_parts(spark):
+    iv = lambda *xs: [("chr1", "+", a, b) for a, b in xs]
+    df = spark.createDataFrame([(1, "a", iv((10, 20), (30, 40)), iv((15, 32), (38, 60))), (2, "b", iv((1, 5)), iv((7, 9)))], f"region_id long, label string, iv array<{INTERVAL}>, other array<{INTERVAL}>")
+    got = lambda d: {r.region_id: [(x.start, x.stop) for x in r.iv] for r in d.collect()}
+    assert got(regions.meet(df)) == {1: [(15, 20), (30, 32), (38, 40)]}
+    assert got(regions.clip(df)) == {1: [(15, 20), (30, 40)]}
+    assert got(regions.between(df)) == {1: [(33, 9)], 2: [(10, 0)]}
+    cover = overlaps.per_test_coverage(df.drop("other"), df.selectExpr("region_id", "label", "other AS iv"))
+    assert {r.region_id: r.coverage for r in cover.collect()} == {1: 6 + 3 + 3}
+
+
+def test_relations(spark):
+    import numpy as np
+
+    a, b = [1.0, 2.0, 4.0, 0.0], [2.0, 1.0, 5.0, 3.0]
+    got = spark.createDataFrame([(a, b)], "a array<double>, b array<double>").selectExpr(*(f"{vec_sql.relation(k)} AS {k}" for k in vec_sql.RELATIONS)).first().asDict()
+    x, y = np.array(a), np.array(b)
+    p, q = x / x.sum(), y / y.sum()
+    want = {"inner": x @ y, "covariance": x @ y / 4, "euclid": np.linalg.norm(x - y), "pearson": np.corrcoef(x, y)[0, 1], "relative_entropy": (p[:3] * np.log2(p[:3] / q[:3])).sum(), "chi2": np.sqrt(((x - y) ** 2 / y).sum()), "hamming": 4.0, "jaccard": 2 / 6}
+    assert got == pytest.approx(want)
+    e = spark.createDataFrame([([0.0, 0.1, 1.0, float("nan")],)], "v array<double>").selectExpr(f"{vec_sql.histogram(4)} AS h", f"{vec_sql.entropy(4)} AS e").first()
+    assert e.h == [2, 0, 0, 1] and e.e == pytest.approx(-(2 / 3 * np.log(2 / 3) + 1 / 3 * np.log(1 / 3)) / np.log(4))
+
+
+def test_permuted_fdr(spark):
+    """As many permuted p at or below each p, over its rank, as a plain count finds; a planted category stands out."""
+    rng = random.Random(1)
+    rows = [(f"g{i}", rng.choice([-1.0, 1.0]) if i >= 40 else 1.0, 1.0, ["all", "planted" if i < 40 else f"c{i % 4}"]) for i in range(200)]
+    df = spark.createDataFrame(rows, "label string, value double, total double, categories array<string>")
+    got = {r.category: r for r in enrichment.permuted_fdr(df, "n", permutations=20, seed=4).collect()}
+    chance = [r.y0 for r in enrichment._dealt(df, "n", 20, 4, False, True, True).collect()]
+    want, least = {}, None
+    order = sorted(got.values(), key=lambda r: (r.p, r.category))
+    for k in range(len(order), 0, -1):
+        raw = sum(y <= order[k - 1].p for y in chance) / 20 / k
+        least = raw if least is None else min(least, raw)
+        want[order[k - 1].category] = least
+    assert {c: r.fdr for c, r in got.items()} == pytest.approx(want) and got["planted"].fdr < 0.1
+    for how in ("t", "corr"):
+        p = enrichment.empirical(df.withColumn("total", F.expr("1 + length(label)")), how, permutations=5)
+        assert p.where("p BETWEEN 0 AND 1").count() == 6
