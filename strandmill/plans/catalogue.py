@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from strandmill.functions import vectors as vec_sql
 from strandmill.operators import enrichment, hic, matrix, overlaps, profiles, regions, scans, sets, vectors
 from strandmill.plans import fixtures as X
 from strandmill.sources import formats
@@ -332,6 +335,52 @@ _add("enr_bh", lambda s, d: enrichment.adjusted(enrichment.statistic(X.cats(s, d
      "t AS (SELECT category, 1 - k / n AS p FROM cat), o AS (SELECT *, row_number() OVER (ORDER BY p, category) AS nr, count(*) OVER () AS n FROM t), f AS (SELECT *, min(least(p * n / nr, 1)) OVER (ORDER BY nr DESC) AS fdr FROM o), s AS (SELECT *, CASE WHEN nr = 1 THEN 0 ELSE nr * fdr - (nr - 1) * lag(fdr) OVER (ORDER BY nr) END AS step FROM f) SELECT_ category, round(p, 6) AS p, round(fdr, 6) AS fdr, round(least(max(step) OVER (ORDER BY nr), 1), 6) AS q FROM s")
 
 
+_SHIFTED = "transform(iv, x -> named_struct('chrom', x.chrom, 'strand', x.strand, 'start', x.start + 50, 'stop', x.stop + 50))"
+_with_other = lambda s, d: X.spliced(s, d, apart=True).withColumn("other", F.expr(_SHIFTED))
+_reg("meet", regions.meet, "SELECT_ a.region_id, row_number() OVER (PARTITION BY a.region_id ORDER BY greatest(a.start, b.start + 50)) - 1 AS k, a.chrom, a.strand, greatest(a.start, b.start + 50) AS start, least(a.stop, b.stop + 50) AS stop FROM apart a JOIN apart b ON a.region_id = b.region_id AND a.start <= b.stop + 50 AND b.start + 50 <= a.stop", _with_other)
+_reg("clip", regions.clip, "e AS (SELECT region_id, min(start) + 50 AS lo, max(stop) + 50 AS hi FROM apart GROUP BY 1) SELECT_ region_id, row_number() OVER (PARTITION BY region_id ORDER BY k) - 1 AS k, chrom, strand, greatest(start, lo) AS start, least(stop, hi) AS stop FROM apart JOIN e USING (region_id) WHERE greatest(start, lo) <= least(stop, hi)", _with_other)
+_reg("between", regions.between, "SELECT_ region_id, 0::BIGINT AS k, chrom, strand, stop + 51 AS start, start - 1 AS stop FROM apart WHERE k = 0", _with_other)
+_add("ovl_per_test_coverage", lambda s, d: overlaps.per_test_coverage(X.tests(s, d), X.refs(s, d)), f"SELECT_ t.region_id, sum(least(t.stop, r.stop) - greatest(t.start, r.start) + 1)::BIGINT AS coverage FROM tests t JOIN refs r ON {MEET} GROUP BY 1")
+
+_REL = ("inner", "covariance", "euclid", "pearson", "relative_entropy", "chi2")
+
+
+def _relations(s, d):
+    """Every vector, all its values made positive, against the next one."""
+    v = X.vec(s, d).selectExpr("row_id", "transform(v, x -> abs(x) + 0.01D) AS a")
+    both = v.join(v.selectExpr("row_id - 1 AS row_id", "a AS b"), "row_id")
+    return both.selectExpr("row_id", *(f"round({vec_sql.relation(k)}, 5) AS {k}" for k in _REL))
+
+
+_add("vec_relations", _relations, "p AS (SELECT row_id, j, abs(x) + 0.01::DOUBLE AS x FROM cell), b AS (SELECT p.row_id, p.x, q.x AS y FROM p JOIN p q ON q.row_id = p.row_id + 1 AND q.j = p.j), t AS (SELECT row_id, sum(x) AS n, sum(y) AS m FROM b GROUP BY 1) SELECT_ row_id, round(sum(x * y), 5) AS inner, round(avg(x * y), 5) AS covariance, round(sqrt(sum((x - y) * (x - y))), 5) AS euclid, round(corr(x, y), 5) AS pearson, round(sum(x / n * log2(x / n / (y / m))), 5) AS relative_entropy, round(sqrt(sum((x - y) * (x - y) / y)), 5) AS chi2 FROM b JOIN t USING (row_id) GROUP BY row_id".replace(" AS inner,", ' AS "inner",'))
+_add("enr_permuted_fdr", lambda s, d: enrichment.permuted_fdr(X.cats(s, d), "n", permutations=20, seed=1))
+
+
+def _through(s, lines, read):
+    """``lines`` written as text to the shared folder, and read again."""
+    path = f"{matrix.shared_folder(s)}/lines-{uuid.uuid4().hex}"
+    formats.write_lines(lines, path)
+    return read(s, path)
+
+
+def _by_label(df):
+    return df.select("label", F.posexplode("iv").alias("k", "x")).selectExpr("label", "cast(k as bigint) AS k", "x.chrom", "x.strand", "x.start", "x.stop")
+
+
+_APART = "SELECT_ 'r' || region_id AS label, k, chrom, strand, start, stop FROM apart"
+_add("src_reg", lambda s, d: _by_label(_through(s, formats.as_reg(X.spliced(s, d, apart=True)), formats.read_regions)), _APART)
+_add("src_bed", lambda s, d: _by_label(_through(s, formats.as_bed(X.spliced(s, d, apart=True)), formats.read_regions)), _APART)
+_add("src_gff", lambda s, d: _by_label(_through(s, formats.as_gff(X.refs(s, d)), formats.read_regions)), "SELECT_ label, 0::BIGINT AS k, chrom, strand, start, stop FROM refs")
+_add("src_categories", lambda s, d: _through(s, X.cats(s, d).selectExpr("concat_ws('\\t', label, concat(value, ' ', total), array_join(transform(categories, c -> replace(c, ' ', '_')), ' ')) AS value"), formats.read_categories).selectExpr("label", "round(value, 4) AS value", "total", "array_join(categories, ' ') AS keys"),
+     "SELECT_ p_partkey::VARCHAR AS label, round(p_retailprice - 950, 4) AS value, (p_size + 1)::DOUBLE AS total, replace(p_brand, ' ', '_') || ' ' || replace(p_type, ' ', '_') AS keys FROM part")
+_add("src_matrix", lambda s, d: _by_cell(_through(s, X.vec(s, d).selectExpr("concat(label, '-', row_id, '\\t', array_join(transform(v, x -> cast(x as string)), ' ')) AS value"), formats.read_matrix)[0]), "SELECT_ label || '-' || row_id AS label, j, round(x, 6) AS x FROM cell")
+_add("src_vectors", lambda s, d: _by_cell(_through(s, X.vec(s, d).selectExpr("concat(label, '-', row_id, '\\t', array_join(transform(v, x -> cast(x as string)), ' ')) AS value"), formats.read_vectors)), "SELECT_ label || '-' || row_id AS label, j, round(x, 6) AS x FROM cell")
+
+
+def _by_cell(df):
+    return df.select("label", F.posexplode("v").alias("j", "x")).selectExpr("label", "cast(j as bigint) AS j", "round(x, 6) AS x")
+
+
 def queries() -> dict:
     return dict(Q)
 
