@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandmill.functions.regions import weight
-from strandmill.functions.tails import binomial_q, normal_q, poisson_q
+from strandmill.functions.tails import binomial_q, normal_q, poisson_q, poisson_sample
 from strandmill.operators.interval_join import flat, interval_join
 
 
@@ -87,9 +87,8 @@ def peaks(signal: DataFrame, genome: DataFrame, control: DataFrame | None = None
     if control is not None:
         v = v.join(counts(control, genome, **how).withColumnRenamed("n", "v2"), key, "left")
     else:
-        u = "((pmod(xxhash64(chrom, strand, k, {0}), 1000003) + 0.5) / 1000003)".format
-        gauss = f"sqrt(-2 * ln({u(seed)})) * cos(2 * pi() * {u(seed + 1)})"
-        v = v.withColumn("v2", F.expr(f"greatest(0, floor({size * p_signal} + sqrt({size * p_signal}) * {gauss} + 0.5))"))
+        u = (F.pmod(F.xxhash64("chrom", "strand", "k", F.lit(seed)), F.lit(1000003)) + 0.5) / 1000003
+        v = v.withColumn("v2", poisson_sample(F.lit(float(size * p_signal)), u))
     if unique is not None:
         v = v.join(counts(unique, genome, size=size, step=step, op="p", stranded=stranded).select("chrom", "strand", "k", F.col("n").alias("v0")), ["chrom", "strand", "k"], "left")
     else:

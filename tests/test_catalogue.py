@@ -14,14 +14,16 @@ def rounded(rows):
     return Counter(tuple(round(x, 4) if isinstance(x, float) else x for x in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["set_inv", "set_annotator", "set_partition", "ovl_subset", "ovl_subset_inv", "ovl_annotate", "ovl_bin_pairs", "ovl_dist", "scan_counts_ref", "scan_peaks_poisson", "app_peakdiff_scan", "reg_non", "enr_n_hyper"])
+@pytest.mark.parametrize("name", ["set_inv", "set_annotator", "set_partition", "ovl_subset", "ovl_subset_inv", "ovl_annotate", "ovl_bin_pairs", "ovl_dist", "scan_counts_ref", "scan_peaks_poisson", "scan_peaks_binomial", "scan_peaks_cbinomial", "app_peakdiff_scan", "reg_non", "enr_n_hyper"])
 def test_agrees_with_sql(spark, name):
-    got = catalogue.queries()[name](spark, SF)
+    # The smallest tables have no window that passes as a peak by the SQL.
+    sf = "/root/testdata/sf0.01" if name.startswith("scan_peaks_") else SF
+    got = catalogue.queries()[name](spark, sf)
     con = duckdb.connect()
     for t in ("orders", "lineitem"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     # The CTEs that aren't used need tables, too.
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'; CREATE VIEW part AS SELECT * FROM '{SF}/part.parquet'")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'; CREATE VIEW part AS SELECT * FROM '{sf}/part.parquet'")
     want = con.execute(catalogue.oracle_sql()[name])
     columns = [c[0] for c in want.description]
     want = want.fetchall()

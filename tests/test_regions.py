@@ -109,6 +109,16 @@ def test_peaks_are_found(make, genome, method):
     assert sorted((r.start, r.stop, r.v1) for r in got) == [(201, 250, 43.0), (601, 650, 43.0)]
 
 
+def test_peaks_against_drawn_counts(make, genome):
+    """Without a control: the same windows for the same seed, counts of the background's mean and variance for it."""
+    signal = make(*[("x", "+", [(p, p)]) for p in [*range(201, 241), *range(6001, 6041), *range(1, 10_000, 10)]])
+    how = {"size": 50, "step": 50, "pval": 0.05, "qval": 0.05}
+    one, two = (scans.peaks(signal, genome.withColumn("length", F.lit(10_000)), **how, seed=7).collect() for _ in range(2))
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two)) and sorted((r.start, r.stop, r.v1) for r in one) == [(201, 250, 45.0), (6001, 6050, 45.0)]
+    drawn = scans.peaks(signal, genome.withColumn("length", F.lit(10_000)), size=50, step=50, pval=1.0, qval=9.0, seed=7).select("v2").toPandas()["v2"]
+    assert len(drawn) == 200 and abs(drawn.mean() - 5.4) < 0.6 and 3.5 < drawn.var() < 7.5
+
+
 def test_tails():
     assert abs(binomial_tail([25], 0.018, 501)[0] - 2.286733848e-06) < 1e-12
     assert abs(poisson_tail([10], [5.0])[0] - 0.013695269) < 1e-8 and abs(t_tail([2.0], [10])[0] - 0.036694017) < 1e-8
