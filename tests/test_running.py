@@ -47,3 +47,18 @@ def test_nearest_breakpoints_without_pairs(spark, monkeypatch):
     no_join(monkeypatch)
     found = {x.region_id: tuple(x)[1:6] for x in overlaps.pair_dist(df, ref).collect()}
     assert found == more == want and len(want) > 30
+
+
+def test_coverage_of_tests_without_pairs(spark, monkeypatch):
+    r = random.Random(2)
+    refs, tests = some(r, 60, 70_000), some(r, 60, 70_000)
+    refs += [(100 + i, "_", [("chr0", "+", 65_400 + i, 65_450), ("chr0", "+", 65_500, 65_700 + i)]) for i in range(3)]
+    tests += [(100, "_", [("chr0", "+", 65_440, 65_460), ("chr0", "+", 65_600, 65_601)]), (101, "_", [("chr9", "+", 1, 5)])]
+    shared = lambda t, c, q: sum(max(0, min(x[3], y[3]) - max(x[2], y[2]) + 1) for _, _, iv in refs for x in t for y in iv if x[0] == y[0] and (not q or x[1] == y[1]))
+    df, ref = spark.createDataFrame(tests, SCHEMA), spark.createDataFrame(refs, SCHEMA)
+    pairs = {x.region_id: x.coverage for x in overlaps.per_test_coverage(df, ref, bits=12).collect()}
+    no_join(monkeypatch)
+    for stranded in (True, False):
+        want = {i: n for i, _, t in tests if (n := shared(t, refs, stranded))}
+        assert {x.region_id: x.coverage for x in overlaps.per_test_coverage(df, ref, stranded=stranded).collect()} == want
+        assert not stranded or pairs == want
