@@ -62,3 +62,32 @@ def test_coverage_of_tests_without_pairs(spark, monkeypatch):
         want = {i: n for i, _, t in tests if (n := shared(t, refs, stranded))}
         assert {x.region_id: x.coverage for x in overlaps.per_test_coverage(df, ref, stranded=stranded).collect()} == want
         assert not stranded or pairs == want
+
+
+def _plain(tests, refs, up, down, bins, op, stranded):
+    rows = {}
+    for i, _, [(c, s, a, b)] in refs:
+        first, last = (up, down) if s == "+" else (down, up)
+        a, b, row = a - first, b + last, [0] * bins
+        back = {"1": False, "5p": s == "-", "3p": s == "+"}[op]
+        for _, _, [(d, t, x, y)] in tests:
+            if c == d and (s == t or not stranded) and x <= b and y >= a:
+                z = ((2 * b - x - y) if back else (x + y - 2 * a)) / 2 / (up + down)
+                if 0 <= z < 1:
+                    row[int(bins * z)] += 1
+        rows[i] = row
+    return rows
+
+
+def test_profiles_and_heatmaps_without_pairs(spark, monkeypatch):
+    r = random.Random(3)
+    refs, tests = some(r, 40, 500), some(r, 80, 90)
+    df, ref = spark.createDataFrame(tests, SCHEMA), spark.createDataFrame(refs, SCHEMA)
+    two = spark.createDataFrame([(99, "_", [("chr7", "+", 1, 2), ("chr7", "+", 5, 6)])], SCHEMA)
+    more = {x.region_id: x.v for x in profiles.heatmap(df, ref.union(two), upstream=100, downstream=57, bins=7).collect()}
+    assert more.pop(99) == [0] * 7 and more == _plain(tests, refs, 100, 57, 7, "5p", True)
+    no_join(monkeypatch)
+    for op, stranded, up, down, bins in (("5p", True, 100, 57, 7), ("3p", False, 300, 500, 20), ("1", True, 0, 3, 10)):
+        how = {"upstream": up, "downstream": down, "bins": bins, "op": op, "stranded": stranded}
+        want = _plain(tests, refs, up, down, bins, op, stranded)
+        assert {x.region_id: x.v for x in profiles.heatmap(df, ref, **how).collect()} == want
