@@ -91,3 +91,5 @@ def test_profiles_and_heatmaps_without_pairs(spark, monkeypatch):
         how = {"upstream": up, "downstream": down, "bins": bins, "op": op, "stranded": stranded}
         want = _plain(tests, refs, up, down, bins, op, stranded)
         assert {x.region_id: x.v for x in profiles.heatmap(df, ref, **how).collect()} == want
+        got = [x.value for x in profiles.profile(df, ref, by_refs=False, **how).orderBy("bin").collect()]
+        assert got == [sum(c) for c in zip(*want.values())] and sum(got) > 0
