@@ -15,3 +15,22 @@ def test_every_pair_once_and_no_side_on_the_driver(spark):
     sums.collect()
     plan = sums._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "vs" not in plan  # vectors don't travel where only ids are asked for
+
+
+def test_sparse_text_rounds_exact_values(spark, tmp_path):
+    """Halves of the last digit, numbers just below one by their exact value, and a vector of zeros, as in the SQL."""
+    import duckdb
+
+    from strandmill.plans import catalogue
+
+    values = [[1 / 128, -3 / 128, 0.0], [0.0, 0.0, 0.0], [0.1234565, 1e-9, 2.5e8]]
+    # Floats of the driver's table are wider here, so that 0.1234565 stays what it is.
+    spark.createDataFrame(list(enumerate(values)), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'; CREATE TABLE orders AS SELECT * FROM '/root/testdata/sf0.001/orders.parquet'; CREATE TABLE lineitem AS SELECT * FROM '/root/testdata/sf0.001/lineitem.parquet'; CREATE TABLE part AS SELECT * FROM '/root/testdata/sf0.001/part.parquet'")
+    for name in ("vec_sparse", "mat_sparse"):
+        want = sorted(con.execute(catalogue.oracle_sql()[name]).fetchall())
+        assert sorted((r.row_id, r.text) for r in catalogue.queries()[name](spark, str(tmp_path)).select("row_id", "text").collect()) == want
+    assert want[0] == (0, "0:0.007812 1:-0.023438")
+    df = spark.createDataFrame([(1, "a", [None, float("nan"), 2.0]), (2, "b", None)], "row_id long, label string, v array<double>")
+    assert {r.row_id: r.text for r in vectors.sparse(df, 1).collect()} == {1: "3:2.000000", 2: None}
