@@ -34,3 +34,24 @@ def test_sparse_text_rounds_exact_values(spark, tmp_path):
     assert want[0] == (0, "0:0.007812 1:-0.023438")
     df = spark.createDataFrame([(1, "a", [None, float("nan"), 2.0]), (2, "b", None)], "row_id long, label string, v array<double>")
     assert {r.row_id: r.text for r in vectors.sparse(df, 1).collect()} == {1: "3:2.000000", 2: None}
+
+
+def test_both_ends_of_pairs_go_through_one_join(spark, monkeypatch):
+    import random
+
+    from strandmill.functions.regions import INTERVAL
+    from strandmill.operators import overlaps
+
+    r, calls, join = random.Random(4), [], overlaps.interval_join
+    monkeypatch.setattr(overlaps, "interval_join", lambda *a, **k: calls.append(1) or join(*a, **k))
+    one = lambda longest: (f"chr{r.randint(0, 1)}", r.choice("+-"), a := 500 + r.randint(-90, 90), a + r.choice((0, 9, longest)))
+    # Ids come twice, some are null, and not every row is a pair.
+    pairs = [(None if i % 13 == 0 else i % 30, "_", [one(20) for _ in range(1 if i % 11 == 0 else 2)]) for i in range(40)]
+    refs = [(None if i == 7 else i, "_", [one(700)]) for i in range(25)]
+    df, ref = (spark.createDataFrame(x, f"region_id long, label string, iv array<{INTERVAL}>") for x in (pairs, refs))
+    for stranded in (True, False):
+        meet = lambda x, y, q=stranded: x[0] == y[0] and (not q or x[1] == y[1]) and x[2] <= y[3] and x[3] >= y[2]
+        sides = [[(i, j) for i, _, iv in pairs if i is not None and len(iv) == 2 for j, _, [y] in refs if meet(iv[k], y)] for k in (0, 1)]
+        want = sorted((str(i), str(a), str(b)) for i, a in sides[0] for h, b in sides[1] if h == i)
+        assert sorted(tuple(map(str, x)) for x in overlaps.bin_pairs(df, ref, stranded=stranded).collect()) == want and len(want) > 30
+    assert len(calls) == 2
