@@ -55,3 +55,44 @@ def test_both_ends_of_pairs_go_through_one_join(spark, monkeypatch):
         want = sorted((str(i), str(a), str(b)) for i, a in sides[0] for h, b in sides[1] if h == i)
         assert sorted(tuple(map(str, x)) for x in overlaps.bin_pairs(df, ref, stranded=stranded).collect()) == want and len(want) > 30
     assert len(calls) == 2
+
+
+def test_pairs_of_regions_without_broadcast_or_functions_over_arrays(spark):
+    """The plain cases run in compiled code: a merge, no second join for a region's size, no function over arrays."""
+    from strandmill.plans import catalogue
+
+    for name, functions in (("ovl_overlap", ""), ("ovl_overlap_spliced", "exists("), ("ovl_annotate", "aggregate(")):
+        plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        joins = plan.count("Join")
+        assert "BroadcastHashJoin [chrom" not in plan and "SortMergeJoin [chrom" in plan
+        assert not functions or functions not in plan
+        assert name != "ovl_annotate" or "Join [ref_id" not in plan, joins
+
+
+def test_few_and_many_intervals_meet_alike(spark, monkeypatch):
+    import random
+
+    from strandmill.functions.regions import INTERVAL
+    from strandmill.operators import interval_join, overlaps
+
+    r = random.Random(5)
+
+    def some(n, most):
+        out = []
+        for i in range(n):
+            a, iv = 480 + r.randint(0, 60), []
+            for _ in range(r.randint(1, most)):
+                iv.append(("chr1", "+", a, a + r.randint(0, 4)))
+                a += r.randint(5, 12)
+            out.append((i, "_", iv))
+        return out
+
+    for most_t, most_r in ((1, 3), (3, 1), (3, 4), (5, 6)):
+        tests, refs = some(40, most_t), some(40, most_r)
+        df, ref = (spark.createDataFrame(x, f"region_id long, label string, iv array<{INTERVAL}>") for x in (tests, refs))
+        want = sorted((i, j) for i, _, t in tests for j, _, u in refs if any(x[2] <= y[3] and x[3] >= y[2] for x in t for y in u))
+        clipped = sorted((i, j, *x[:2], max(x[2], u[0][2]), min(x[3], u[-1][3])) for i, j in want for t, u in [(tests[i][2], refs[j][2])] for x in t if max(x[2], u[0][2]) <= min(x[3], u[-1][3]))
+        for limit in (16, 0):
+            monkeypatch.setattr(interval_join, "UNROLLED", limit)
+            assert sorted((x.region_id, x.ref_id) for x in overlaps.overlap(df, ref).collect()) == want and want
+            assert sorted((x.region_id, x.ref_id, *y) for x in overlaps.intersect(df, ref).collect() for y in x.iv) == clipped
