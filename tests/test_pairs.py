@@ -96,3 +96,27 @@ def test_few_and_many_intervals_meet_alike(spark, monkeypatch):
             monkeypatch.setattr(interval_join, "UNROLLED", limit)
             assert sorted((x.region_id, x.ref_id) for x in overlaps.overlap(df, ref).collect()) == want and want
             assert sorted((x.region_id, x.ref_id, *y) for x in overlaps.intersect(df, ref).collect() for y in x.iv) == clipped
+
+
+def test_fractions_of_offsets_in_compiled_code(spark):
+    """Sizes of single intervals call no function over arrays, those of several still count; rounding is the SQL's, without a text for each number."""
+    import duckdb
+
+    from strandmill.functions.regions import INTERVAL
+    from strandmill.operators import overlaps
+    from strandmill.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    got = catalogue.queries()["ovl_offset_frac"](spark, sf)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "round(" not in plan
+    con = duckdb.connect()
+    for t in ("orders", "lineitem", "part", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(catalogue.oracle_sql()["ovl_offset_frac"]).fetchall())
+    # Ties of the last digit, and either sign.
+    values = [k / 128 + 1e-6 * n for k in range(-300, 300, 7) for n in (0, 1, 3)] + [0.0, -1 / 3, 5e-7, -5e-7, 12345.6789015]
+    want = [x for (x,) in con.execute("SELECT round(x, 6) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall()]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in values], "x double").coalesce(1).selectExpr(catalogue._ROUND6("x")).collect()] == want
+    df, ref = (spark.createDataFrame(x, f"region_id long, label string, iv array<{INTERVAL}>") for x in ([(1, "_", [("chr1", "+", 25, 30)])], [(7, "_", [("chr1", "+", 21, 30), ("chr1", "+", 41, 70)]), (8, "_", [("chr1", "+", 21, 28)])]))
+    assert sorted(map(tuple, overlaps.offset(df, ref, fraction=True).collect())) == [(1, 7, 0.1, 0.225), (1, 8, 0.5, 1.125)]
